@@ -69,6 +69,10 @@ def findings(text: Column, categories: list[str] | None = None) -> Column:
     return F.filter(F.array(*each), lambda x: x["n"] > 0)
 
 
+def _replace_all(text: Column, spans: Column, put: str) -> Column:
+    return F.aggregate(spans, text, lambda acc, m: F.replace(acc, m, F.lit(put)))
+
+
 def redact(text: Column, categories: list[str] | None = None, template: str = "[REDACTED:{category}]") -> Column:
     """text with each category's matches replaced, in catalog order; of checked categories only the valid ones, and matches are sought in the original."""
     out = text
@@ -79,7 +83,7 @@ def redact(text: Column, categories: list[str] | None = None, template: str = "[
         if c in CHECKED:
             # longest first, so that a match inside another doesn't break it
             spans = F.array_sort(F.array_distinct(matches(c, text)), lambda a, b: F.length(b) - F.length(a))
-            out = F.aggregate(spans, out, lambda acc, m, put=put: F.replace(acc, m, F.lit(put)))
+            out = _replace_all(out, spans, put)
         else:
             out = F.regexp_replace(out, _pattern(c), put.replace("$", "\\$"))
     return out

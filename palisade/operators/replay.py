@@ -14,6 +14,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class RateLimit:
@@ -102,7 +103,7 @@ def replay(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[]
 
     One shuffle by key; a partition's rows are sorted and streamed, so memory holds a batch and one key's state.
     """
-    schema = rows.schema.add(out, "string")
+    schema = StructType([*rows.schema.fields, StructField(out, StringType())])
     is_time = dict(rows.dtypes).get("ts", "").startswith("timestamp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
