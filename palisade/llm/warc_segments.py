@@ -54,7 +54,7 @@ def from_chunks(framed: bytes) -> bytes:
             raise WarcError("bad chunk size")
         n, at = int(size[1], 16), end + 2
         if n == 0:
-            if not framed.endswith(_CRLF):
+            if not framed.endswith(_CRLF + _CRLF):
                 raise WarcError("the last chunk does not end")
             return b"".join(out)
         if framed[at + n : at + n + 2] != _CRLF:
