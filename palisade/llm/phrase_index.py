@@ -20,13 +20,12 @@ SHARD_CHARS = 8_000_000
 #: How far, in words, the anchors of a proximity match may be displaced.
 SLOP = 5
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-cases A-Z and takes the words; a null text has none."""
-    return _WORD.findall(text.translate(_LOWER) if not text.isascii() else text.lower()) if text else []
+def words(text: str | None) -> list[bytes]:
+    """Lower-cases A-Z and takes the words, as UTF-8: bytes beyond ASCII are word bytes, as their characters are. A null text has none."""
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
 
 
 class Phrases:
@@ -46,7 +45,7 @@ class Phrases:
         self.windows = [(w, sorted(order, key=lambda o: (counts.get(w[o], 0), w[o], o)), s) for w, order, s in self.windows]
 
 
-def build_shard(texts: list[str | None], terms: dict[str, int], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def build_shard(texts: list[str | None], terms: dict[bytes, int], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A shard's document starts, its known terms with the ends of their lists, and the lists of positions, one after another.
 
     Positions count words through the shard, with a gap after each document that no phrase or proximity match can span.
@@ -110,7 +109,7 @@ def search_shard(starts: np.ndarray, ends: np.ndarray, positions: np.ndarray, ph
 _INDEX = "doc_ids binary, keys binary, starts binary, ends binary, positions binary"
 
 
-def build_index(docs: DataFrame, terms: dict[str, int], gap: int, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The index, one row a shard: ids and row keys of its documents, their starts, and the given terms' position lists.
 
     Each task indexes its documents in runs of about shard_chars, so a shard is bounded and no text is shuffled.
