@@ -52,7 +52,9 @@ def with_lookup(rows: DataFrame, key: Column, found: DataFrame, new: dict[str, C
     new is replaced.
     """
     out = rows.select(F.struct("*").alias("row__"), key.alias("key__")).join(found, "key__", "left")
-    return out.select(*[F.col(f"row__.`{c}`") for c in rows.columns if c not in new], *[x.alias(c) for c, x in new.items()])
+    # the new columns get their own names only after they are computed: an output name must not stand for a column of found
+    out = out.select("row__", F.struct(*[x.alias(c) for c, x in new.items()]).alias("new__"))
+    return out.select(*[F.col(f"row__.`{c}`") for c in rows.columns if c not in new], *[F.col(f"new__.`{c}`") for c in new])
 
 
 def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:

@@ -59,8 +59,8 @@ def normal(sentence: str) -> str:
 def scan_licenses(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row per document row: its columns, licenses (sorted, comma-joined, "" for none), n_sentences (known ones), rule_hits.
 
-    A sentence ends at a line break or after ".", "!" or "?" before white space; a known sentence may also be split in two
-    by such an end (the notice "Version 2.0. ..." is one), so sentences are compared after normalisation to lower-case words.
+    A sentence ends at a line break or after ".", "!" or "?" before white space (so a hard-wrapped notice must be unwrapped
+    before), and is compared after normalisation to lower-case words.
     A rule hits if its identifiers follow one another among the document's known sentences; unknown sentences between them
     don't matter. Of rules that share a prefix, the longer one hides the shorter. Null and empty texts have no sentence.
     The tables of sentences and rules are constants of the program and so bounded; texts are never shuffled.
