@@ -2,64 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import row_key, stored, with_lookup
 
-#: Leading tokens below the token count in the tree.
-LEAD = 3
-#: Share of equal tokens at which a line's template joins the first template of its leaf.
-SIMILAR = 0.7
+#: Share of a line's tokens that lead to its leaf from the front, and as many from the end; those between are variable fields.
+FIXED = 0.35
 #: Documents in which a template must occur, and neighbours it must have had, to be dropped.
 MIN_DOCS = 3
 #: Neighbours per document that tell a recurring line from a line of copied documents.
 VARIETY = 0.5
-#: A token with a digit, a link or an address is a variable field from the start.
+#: A token with a digit, a link or an address is a variable field wherever it stands.
 _VARIABLE = r"(?<!\S)(?:[^\s\d]*+\d\S*+|https?://\S*+|[^\s@]++@\S++)"
 
 
-def _line_arrays(docs: DataFrame) -> DataFrame:
-    """Of each document row: its key, and of its lines the leaves and templates as hashes; blank lines have the template 0."""
-    masked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, _VARIABLE, "<*>"), r"\s+", " ")))
+def _masked(line: Column) -> Column:
+    """A line with its variable tokens as <*> and single spaces. Most lines have nothing to rewrite, which one scan tells."""
+    rewritten = F.regexp_replace(F.regexp_replace(line, _VARIABLE, "<*>"), r"\s+", " ")
+    return F.trim(F.when(F.regexp_like(line, F.lit(r"[\d@\t\r\f]|://|  ")), rewritten).otherwise(line))
 
-    def leaf(x):
-        tokens = F.split(x, " ")
-        return F.when(x == "", F.lit(0)).otherwise(F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)))
 
-    d = docs.select(row_key().alias("key"), masked.alias("lines"))
-    return d.select("key", F.transform("lines", leaf).alias("leaves"), F.transform("lines", lambda x: F.when(x == "", F.lit(0)).otherwise(F.xxhash64(x))).alias("templates"))
-
-
-def _generalised(docs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(template, cluster): the cluster of each template that differs from its own hash.
-
-    A leaf's first template (the least text) is its reference. A template of the leaf with at least SIMILAR of its tokens
-    equal to the reference's, place by place, is in the reference's cluster; what differs is then a variable field.
-    Only leaves with several templates take part, and only their distinct templates' texts are moved.
-    """
-    at = arrays.select("key", F.explode(F.arrays_zip("leaves", "templates")).alias("z")).select(F.col("z.leaves").alias("leaf"), F.col("z.templates").alias("template")).filter("template != 0")
-    distinct = at.distinct()
-    several = distinct.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    masked = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    lines = docs.select(F.explode(masked).alias("line")).select(F.trim(F.regexp_replace(F.regexp_replace("line", _VARIABLE, "<*>"), r"\s+", " ")).alias("line")).filter("line != ''")
-    tokens = F.split("line", " ")
-    texts = lines.select(F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD)).alias("leaf"), "line").join(several, "leaf", "left_semi").distinct()
-    first = texts.groupBy("leaf").agg(F.min("line").alias("first"))
-    pairs = texts.join(first, "leaf").filter("line != first")
-    same = F.size(F.filter(F.zip_with(F.split("line", " "), F.split("first", " "), lambda a, b: a == b), lambda x: x))
-    near = pairs.filter(same >= SIMILAR * F.size(F.split("line", " ")))
-    return near.select(F.xxhash64("line").alias("template"), F.xxhash64("first").alias("cluster"))
+def _templates(docs: DataFrame) -> DataFrame:
+    """(key, templates): of each document row its key, and the template of each of its lines as a hash; blank lines have 0."""
+    d = docs.select(row_key().alias("key"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _masked).alias("lines"))
+    # the fixed depth: token count, then the first and the last tokens; a short line has no token between
+    n = "(length(x) - length(replace(x, ' ', '')) + 1)"
+    k = f"CAST(ceil({FIXED} * {n}) AS INT)"
+    leaf = f"xxhash64({n}, substring_index(x, ' ', {k}), substring_index(x, ' ', -{k}))"
+    return d.select("key", F.expr(f"transform(lines, x -> IF(x = '', 0L, {leaf}))").alias("templates"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float = VARIETY) -> DataFrame:
     """(key, places): of each document with recurring lines its key, the hash of doc_id and text, and the lines' places from 0."""
-    arrays = stored(_line_arrays(docs), "lines")
-    cluster = _generalised(docs, arrays)
-    each = arrays.select("key", F.posexplode("templates").alias("at", "template"), "templates").filter("template != 0")
-    each = each.select("key", "at", "template", F.when(F.col("at") > 0, F.get("templates", F.col("at") - 1)).alias("before"), F.get("templates", F.col("at") + 1).alias("after"))
-    each = each.join(cluster, "template", "left").select("key", "at", F.coalesce("cluster", "template").alias("template"), "before", "after")
-    # most templates occur once; they are out after one count
+    arrays = stored(_templates(docs), "lines")
+    # neighbours are found in the array, before it is taken apart, so that no row carries a whole document
+    beside = F.expr("transform(templates, (x, i) -> struct(i AS at, x AS template, IF(i > 0, get(templates, i - 1), NULL) AS before, get(templates, i + 1) AS after))")
+    each = arrays.select("key", F.explode(beside).alias("z")).select("key", "z.*").filter("template != 0")
+    # most templates occur once; they are out after one count with map-side combination
     often = each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template")
     each = stored(each.join(often, "template", "left_semi"), "often")
     count = lambda c, name: each.select("template", c).distinct().groupBy("template").agg(F.count("*").alias(name))
@@ -72,11 +52,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float =
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float = VARIETY) -> DataFrame:
     """docs with all its columns and rows, its text without recurring lines, and n_lines and n_dropped.
 
-    A line's variable fields are generalised (see above), its leaf in the tree is its token count and first LEAD tokens,
-    and templates that are alike share a cluster. A cluster is dropped from every document if it occurs in at least
-    min_docs different documents (same id and text count once) and either before or after it stand different lines: at least
-    min_docs and at least variety times as many as it has documents. A line that only occurs within copies of a document
-    has the same neighbours in them, so copies keep their lines and are left to a near-duplicate step.
+    A line's template is its leaf in a tree of fixed depth: its token count, then its first and its last tokens, FIXED of
+    them each. The tokens between, and any token with a digit, a link or an address, are variable fields. A template is
+    dropped from every document if it occurs in at least min_docs different documents (same id and text count once) and
+    either before or after it stand different lines: at least min_docs, and at least variety times as many as it has
+    documents. A line that only occurs within copies of a document has the same neighbours in them, so copies keep their
+    lines and are left to a near-duplicate step.
 
     A null text stays null with no line; an empty one has one blank line; blank lines stay. Repeated rows are treated alike.
     Other line ends than "\\n" belong to the line. A document of recurring lines alone gets an empty text.
