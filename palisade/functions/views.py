@@ -137,29 +137,26 @@ def decoded(s: str, min_entropy: float = DECODE_ENTROPY) -> list[tuple[str, str]
 
 
 def views(s: str | None, rounds: int = DECODE_ROUNDS, max_bytes: int = DECODE_BYTES) -> tuple[list[str], list[str]]:
-    """(views, transforms): the folded text first, then repairs and decodings, each view once, and the transforms in the order they fired."""
+    """(views, transforms): the folded text first, then repairs and decodings of all views so far, each view once, and the transforms that gave a new one in order."""
     first, fired = fold(s or "")
-    out = [first]
-    more = [("reassemble_fragments", v) for v in reassembled(first)]
-    split = _GLUED.sub(" ", first)
-    more += [("split_glued", split)] if split != first else []
-    for name, v in more:
-        fired.append(name)
-        out.append(v)
+    out = dict.fromkeys([first])
+
+    def add(name: str, view: str) -> bool:
+        if view in out:
+            return False
+        out[view] = None
+        if name not in fired:
+            fired.append(name)
+        return True
+
+    for v in reassembled(first):
+        add("reassemble_fragments", v)
     if len(first.encode("utf-8", "surrogatepass")) <= max_bytes:
-        wave = [first]
+        add("split_glued", _GLUED.sub(" ", first))
+        wave = list(out)
         for _ in range(rounds):
-            wave = [(name, fold(v)[0]) for w in wave for name, v in decoded(w)]
-            fresh = []
-            for name, v in wave:
-                fired.append(name)
-                if v and v not in out:
-                    out.append(v)
-                    fresh.append(v)
-            wave = fresh
-            if not wave:
-                break
-    return list(dict.fromkeys(out)), list(dict.fromkeys(fired))
+            wave = [v for w in wave for name, v in decoded(w) if add(name, v)]
+    return list(out), fired
 
 
 def canonical_views(text: Column) -> Column:
