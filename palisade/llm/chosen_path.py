@@ -28,10 +28,15 @@ MAX_DEPTH = 8
 SKETCH = 64
 #: Sketches that agree in fewer places are not verified. At similarity 0.8, 64 places agree in fewer than 38 of them once in 5,000 times.
 LOOKS_ALIKE = 38
+#: In a large bucket, sets whose sketch agrees with that of the bucket's least set in so many places are linked to it ...
+NEAR_LEAST = 28
+#: ... and in so many, they need no further split: whatever is similar to them is then near the least set too.
+WITH_LEAST = 48
 #: Sets in a block of the exact comparison.
 VERIFY_BLOCK = 128
-#: Large-bucket tables of up to this many rows (16 bytes each) are broadcast.
+#: Large-bucket tables of up to this many rows (about 100 bytes each) are broadcast, and so are tables of candidates.
 BROADCAST_BUCKETS = 100_000
+BROADCAST_MEMBERS = 250_000
 
 _WORD = re.compile(r"\w+")
 _SEEDS = mix64(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -115,24 +120,32 @@ def describe(docs: DataFrame, runs: int, n: int, threshold: float) -> DataFrame:
 
 
 def split_again(rows: DataFrame, threshold: float) -> DataFrame:
-    """Children of rows (sig, sketch, bucket): below a bucket, each place of the sketch is chosen if its hash there is less than
-    1 / (threshold * SKETCH), alike for all sets in the bucket; sets with equal bytes there go on together."""
+    """Rows (sig, sketch, bucket, near) of the next split of rows (sig, sketch, bucket, low, low_sketch) in large buckets.
+
+    A set near the bucket's least one gives a candidate link (bucket null, near the least set); one very near it ends there,
+    so a crowd of near copies isn't split on and on. The others go to children: below a bucket, each place of the sketch is
+    chosen if its hash there is less than 1 / (threshold * SKETCH), alike for all sets in the bucket; sets with equal bytes
+    there go on together.
+    """
     limit = np.uint64(int(2.0**64 / (threshold * SKETCH)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, list, list] = [], [], []
+            sk, low = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch", "low_sketch"))
+            agree = (sk == low).sum(axis=1)
             node = mix64(b["bucket"].to_numpy(zero_copy_only=False).view(np.uint64))
             chosen = mix64(node[:, None] ^ _SEEDS[None, :])
             # a bucket in which no place is chosen takes the place with the least hash, so that no path ends here
-            take = (chosen <= limit) | (chosen == chosen.min(axis=1, keepdims=True))
-            sk = np.frombuffer(b"".join(b["sketch"].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            take = ((chosen <= limit) | (chosen == chosen.min(axis=1, keepdims=True))) & (agree < WITH_LEAST)[:, None]
             r, c = np.nonzero(take)
             child = mix64(chosen[r, c] + sk[r, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).view(np.int64)
-            del out
-            yield pa.RecordBatch.from_arrays([b["sig"].take(pa.array(r)), b["sketch"].take(pa.array(r)), pa.array(child)], names=["sig", "sketch", "bucket"])
+            linked = np.flatnonzero(agree >= NEAR_LEAST)
+            at = pa.array(np.concatenate([r, linked]))
+            bucket = pa.array(np.concatenate([child, np.zeros(len(linked), dtype=np.int64)]), mask=np.arange(len(r) + len(linked)) >= len(r))
+            near = pa.concat_arrays([pa.nulls(len(r), pa.binary()), b["low"].take(pa.array(linked)).cast(pa.binary())])
+            yield pa.RecordBatch.from_arrays([b["sig"].take(at), b["sketch"].take(at), bucket, near], names=["sig", "sketch", "bucket", "near"])
 
-    return rows.select("sig", "sketch", "bucket").mapInArrow(run, "sig binary, sketch binary, bucket long")
+    return rows.select("sig", "sketch", "bucket", "low", "low_sketch").mapInArrow(run, "sig binary, sketch binary, bucket long, near binary")
 
 
 def compare_small(rows: DataFrame) -> DataFrame:
@@ -177,27 +190,28 @@ def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between distinct sets such that, but for the recall, similar sets are connected.
 
     Buckets are counted with map-side combination. Those of more than SMALL sets never meet in one task: their rows are split
-    on further tokens where they are. What is still large after MAX_DEPTH splits is linked to its smallest set unseen.
+    on further tokens where they are. What is still large after MAX_DEPTH splits is linked to its least set unseen.
     """
     rows, found, depth = reps.select("sig", "sketch", F.explode("buckets").alias("bucket")), None, DEPTH
     while True:
-        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("sig").alias("low")).filter(f"n > {SMALL}"), "large")
+        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("sig", "sketch")).alias("low")).filter(f"n > {SMALL}"), "large")
         n_large = sizes.count()
         hint = F.broadcast if n_large <= BROADCAST_BUCKETS else (lambda x: x)
         small = compare_small(rows.join(hint(sizes.select("bucket")), "bucket", "left_anti") if n_large else rows)
         found = small if found is None else found.unionByName(small)
         if not n_large:
             break
-        large = rows.join(hint(sizes.select("bucket", "low")), "bucket")
+        large = rows.join(hint(sizes.select("bucket", F.col("low.sig").alias("low"), F.col("low.sketch").alias("low_sketch"))), "bucket")
         if depth >= MAX_DEPTH:
-            found = found.unionByName(large.filter("sig != low").select(F.col("sig").alias("a"), F.col("low").alias("b")))
+            found = found.unionByName(large.select(F.col("sig").alias("a"), F.col("low").alias("b")))
             break
-        rows = stored(split_again(large, threshold), "split")
+        split = stored(split_again(large, threshold), "split")
+        found = found.unionByName(split.filter("near IS NOT NULL AND near != sig").select(F.col("sig").alias("a"), F.col("near").alias("b")))
+        rows = split.filter("bucket IS NOT NULL").select("sig", "sketch", "bucket")
         depth += 1
     return found
 
 
-_SETS = "comp binary, sig binary, weight long, tokens binary"
 _VERIFIED = "a binary, b binary, links long"
 
 
@@ -209,6 +223,8 @@ def verify(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
     is a task of its own, so no task gets more than two blocks of sets.
     """
     sized = members.join(members.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks")), "comp")
+    if sized.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
+        sized = F.broadcast(sized)
     texts = docs.select(row_key().alias("low"), "text").join(sized, "low")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
