@@ -331,11 +331,11 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = SH
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their class. Of rows alike in id and text one stays."""
     found = stored(similar_documents(docs, threshold, n).select("key", "first_key"), "found")
-    kept = without(docs, row_key(), found.filter("key != first_key").select(F.col("key").alias("key__")).distinct())
-    if found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+    kept = without(docs, row_key(), stored(found.filter("key != first_key").select(F.col("key").alias("key__")).distinct(), "gone"))
+    again = stored(found.groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("n")).filter("n > 1").select("key__"), "again")
+    if again.isEmpty():
         return kept
     # which of several rows alike stays: rows that occur once are not moved again
-    again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("key__"))
     once = without(kept, row_key(), again)
     row = kept.select(F.struct("*").alias("row__"), row_key().alias("key__")).join(again, "key__", "left_semi")
     row = row.groupBy("key__").agg(F.first("row__").alias("row__")).select(*[F.col(f"row__.`{c}`") for c in kept.columns])
