@@ -57,9 +57,15 @@ def with_lookup(rows: DataFrame, key: Column, found: DataFrame, new: dict[str, C
     return out.select(*[F.col(f"row__.`{c}`") for c in rows.columns if c not in new], *[F.col(f"new__.`{c}`") for c in new])
 
 
+#: Lists of keys (8 bytes each) up to this length are broadcast; a longer one is joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
 def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
-    """rows whose key isn't among those of gone (one column key__)."""
-    out = rows.select(F.struct("*").alias("row__"), key.alias("key__")).join(gone.select("key__"), "key__", "left_anti")
+    """rows whose key isn't among those of gone (a stored table of one column key__)."""
+    if gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    out = rows.select(F.struct("*").alias("row__"), key.alias("key__")).join(gone, "key__", "left_anti")
     return out.select(*[F.col(f"row__.`{c}`") for c in rows.columns])
 
 
@@ -118,12 +124,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root): the smallest node of each connected component, by alternating large-star and small-star steps.
 
     Each step is a grouped minimum with map-side combination and a join, so a hub is never gathered into one task.
-    Every round is written to the shared folder; it ends when a round changes no edge.
+    Every round is written to the shared folder; it ends when all components are stars.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    e = stored(e, "edges")
-    before = None
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct(), "edges")
     for _ in range(rounds):
+        # done when every node with a smaller one has just that one, and that one has none
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("ups"), F.lit(1).alias("root")))
+        if ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).filter("ups > 1 OR (ups = 1 AND root = 1)").isEmpty():
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -132,10 +140,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stored(small.filter("u != v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
