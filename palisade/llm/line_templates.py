@@ -40,12 +40,13 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float =
     beside = F.expr("transform(templates, (x, i) -> struct(i AS at, x AS template, IF(i > 0, get(templates, i - 1), NULL) AS before, get(templates, i + 1) AS after))")
     each = arrays.select("key", F.explode(beside).alias("z")).select("key", "z.*").filter("template != 0")
     # most templates occur once; they are out after one count with map-side combination
-    often = each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template")
+    often = stored(each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template"), "candidates")
     each = stored(each.join(often, "template", "left_semi"), "often")
     count = lambda c, name: each.select("template", c).distinct().groupBy("template").agg(F.count("*").alias(name))
     stats = count("key", "docs").join(count("before", "befores"), "template").join(count("after", "afters"), "template")
     kinds = F.greatest("befores", "afters")
-    dropped = stats.filter((F.col("docs") >= min_docs) & (kinds >= min_docs) & (kinds >= variety * F.col("docs"))).select("template")
+    # both lists are tables before they are joined, so that a very common template's lines can be split over tasks
+    dropped = stored(stats.filter((F.col("docs") >= min_docs) & (kinds >= min_docs) & (kinds >= variety * F.col("docs"))).select("template"), "dropped")
     return each.join(dropped, "template", "left_semi").groupBy("key").agg(F.collect_set("at").alias("places"))
 
 
