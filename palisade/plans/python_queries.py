@@ -53,8 +53,9 @@ def heuristic_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def command_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "pages").select("page_id", F.explode(commands.command_findings(F.col("html"))).alias("f"))
-    return d.groupBy("f.category", "f.severity").agg(F.count("*").alias("n"))
+    """Pages by command shape; those without one count as "none"."""
+    d = table(spark, sf, "pages").select("page_id", F.explode_outer(commands.command_findings(F.col("html"))).alias("f"))
+    return d.groupBy(F.coalesce("f.category", F.lit("none")).alias("category"), F.coalesce("f.severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query
