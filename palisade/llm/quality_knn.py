@@ -93,13 +93,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     if not rows:
         return KnnModel(np.zeros(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
     y = np.asarray([r[1] for r in rows], dtype=np.float64)
-    x = unit_rows(np.stack([np.frombuffer(r[2], dtype=np.float16) for r in rows]).astype(np.float32))
+    x = np.empty((len(rows), DIMS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r[2], dtype=np.float16)
+    del rows
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     centre = x.mean(0)
-    values, vectors = np.linalg.eigh((x - centre).T @ (x - centre))
-    basis = vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
-    model = KnnModel(centre, basis, np.zeros((0, 1)), y, float(y.mean()), neighbours)
-    model.vectors = unit_rows((x - centre) @ basis)
-    return model
+    x -= centre
+    basis = latent_basis(x, rank)
+    return KnnModel(centre, basis, unit_rows(x @ basis), y, float(y.mean()), neighbours)
+
+
+def latent_basis(x: np.ndarray, rank: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
+    """The first right singular vectors of x, by block power iteration: nothing larger than x times a few columns is held."""
+    width = min(rank + 8, *x.shape)
+    q = np.random.default_rng(seed).standard_normal((x.shape[1], width)).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    turn = np.linalg.svd(x @ q, full_matrices=False)[2]
+    return (q @ turn.T[:, :rank]).astype(np.float32)
 
 
 def classify(docs: DataFrame, model: KnnModel, threshold: float = 0.5) -> DataFrame:

