@@ -24,7 +24,7 @@ DEPTH = 2
 #: Sets up to which a bucket is compared at once; a larger one is split again.
 SMALL = 128
 #: Splits in all, after which a large bucket becomes a candidate group as it is.
-MAX_DEPTH = 8
+MAX_DEPTH = 5
 SKETCH = 64
 #: Sketches that agree in fewer places are not verified. At similarity 0.8, 64 places agree in fewer than 38 of them once in 5,000 times.
 LOOKS_ALIKE = 38
