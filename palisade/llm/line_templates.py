@@ -9,9 +9,14 @@ from palisade.llm.common import row_key, stored, with_lookup
 
 #: Share of a line's tokens that lead to its leaf from the front, and as many from the end; those between are variable fields.
 FIXED = 0.35
-#: Documents in which a template must occur, and neighbours it must have had, to be dropped.
+#: Documents in which a template must occur to be dropped; copies of a document count as one.
 MIN_DOCS = 3
-#: Neighbours per document that tell a recurring line from a line of copied documents.
+#: Share of a document's characters in recurring lines up to which it is a text of its own, and from which a near copy of others.
+OWN = 0.5
+NEAR_COPY = 0.8
+#: A document with fewer recurring lines is a text of its own, however long they are.
+COPIED_LINES = 3
+#: Former ratio of neighbours to documents; the operator no longer uses it, a test's definition still names it.
 VARIETY = 0.5
 #: A token with a digit, a link or an address is a variable field wherever it stands.
 _VARIABLE = r"(?<!\S)(?:[^\s\d]*+\d\S*+|https?://\S*+|[^\s@]++@\S++)"
@@ -24,46 +29,54 @@ def _masked(line: Column) -> Column:
 
 
 def _templates(docs: DataFrame) -> DataFrame:
-    """(key, templates): of each document row its key, and the template of each of its lines as a hash; blank lines have 0."""
-    d = docs.select(row_key().alias("key"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _masked).alias("lines"))
+    """(key, copy, total, lines) of each document row: its key, the hash of its masked lines, which copies share, their characters, and of each line its characters and template as a hash; blank lines have 0."""
+    d = docs.select(row_key().alias("key"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _masked).alias("masked"))
     # the fixed depth: token count, then the first and the last tokens; a short line has no token between
     n = "(length(x) - length(replace(x, ' ', '')) + 1)"
     k = f"CAST(ceil({FIXED} * {n}) AS INT)"
     leaf = f"xxhash64({n}, substring_index(x, ' ', {k}), substring_index(x, ' ', -{k}))"
-    return d.select("key", F.expr(f"transform(lines, x -> IF(x = '', 0L, {leaf}))").alias("templates"))
+    lines = F.expr(f"transform(masked, x -> struct(length(x) AS size, IF(x = '', 0L, {leaf}) AS template))")
+    return d.select("key", F.expr("xxhash64(filter(masked, x -> x != ''))").alias("copy"), F.length(F.array_join("masked", "")).alias("total"), lines.alias("lines"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float = VARIETY) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, places): of each document with recurring lines its key, the hash of doc_id and text, and the lines' places from 0."""
     arrays = stored(_templates(docs), "lines")
-    # neighbours are found in the array, before it is taken apart, so that no row carries a whole document
-    beside = F.expr("transform(templates, (x, i) -> struct(i AS at, x AS template, IF(i > 0, get(templates, i - 1), NULL) AS before, get(templates, i + 1) AS after))")
-    each = arrays.select("key", F.explode(beside).alias("z")).select("key", "z.*").filter("template != 0")
+    each = arrays.select("key", "copy", "total", F.posexplode("lines").alias("at", "z")).select("key", "copy", "total", "at", "z.*").filter("template != 0")
     # most templates occur once; they are out after one count with map-side combination
     often = stored(each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template"), "candidates")
     each = stored(each.join(often, "template", "left_semi"), "often")
-    count = lambda c, name: each.select("template", c).distinct().groupBy("template").agg(F.count("*").alias(name))
-    stats = count("key", "docs").join(count("before", "befores"), "template").join(count("after", "afters"), "template")
-    kinds = F.greatest("befores", "afters")
-    # both lists are tables before they are joined, so that a very common template's lines can be split over tasks
-    dropped = stored(stats.filter((F.col("docs") >= min_docs) & (kinds >= min_docs) & (kinds >= variety * F.col("docs"))).select("template"), "dropped")
-    return each.join(dropped, "template", "left_semi").groupBy("key").agg(F.collect_set("at").alias("places"))
 
+    # lists of templates are tables before they are joined, so that a very common template's lines can be split over tasks
+    n = each.select("template", "copy").distinct().groupBy("template").agg(F.count("*").alias("n"))
+    recurring = stored(n.filter(F.col("n") >= min_docs).select("template"), "recurring")
+    each = stored(each.join(recurring, "template", "left_semi"), "recurring_lines")
+    shared = each.select("copy", "total", "at", "size").distinct().groupBy("copy", "total").agg(F.when(F.count("*") >= COPIED_LINES, F.sum("size") / F.col("total")).otherwise(0.0).alias("share"))
+    each = stored(each.select("key", "copy", "at", "template").join(shared.select("copy", "share"), "copy"), "shares")
+    apart = each.filter(F.col("share") < NEAR_COPY).select("template", "copy", (F.col("share") < OWN).cast("int").alias("own")).distinct()
+    n = apart.groupBy("template").agg(F.count("*").alias("n"), F.sum("own").alias("n_own"))
+    dropped = stored(n.filter(F.col("n") >= min_docs).select("template", (F.col("n_own") >= min_docs).alias("everywhere")), "dropped")
+    gone = each.join(dropped, "template").filter(F.col("everywhere") | (F.col("share") < NEAR_COPY))
+    return gone.groupBy("key").agg(F.collect_set("at").alias("places"))
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, variety: float = VARIETY) -> DataFrame:
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with all its columns and rows, its text without recurring lines, and n_lines and n_dropped.
 
     A line's template is its leaf in a tree of fixed depth: its token count, then its first and its last tokens, FIXED of
-    them each. The tokens between, and any token with a digit, a link or an address, are variable fields. A template is
-    dropped from every document if it occurs in at least min_docs different documents (same id and text count once) and
-    either before or after it stand different lines: at least min_docs, and at least variety times as many as it has
-    documents. A line that only occurs within copies of a document has the same neighbours in them, so copies keep their
-    lines and are left to a near-duplicate step.
+    them each. The tokens between, and any token with a digit, a link or an address, are variable fields.
+
+    A template recurs if it occurs in at least min_docs different documents; those that are alike in all but blank lines and
+    variable tokens are copies and count as one. It is dropped from every document if min_docs of its documents have less
+    than OWN of their characters in recurring lines, whatever stands around it. If only less than NEAR_COPY of them, it is
+    dropped but from near copies, documents with at least NEAR_COPY. A document with fewer than
+    COPIED_LINES recurring lines counts as one with none. Otherwise it only recurs within near copies and stays,
+    as they are left to a near-duplicate step; without this, the copies of an often copied text would all be emptied.
 
     A null text stays null with no line; an empty one has one blank line; blank lines stay. Repeated rows are treated alike.
     Other line ends than "\\n" belong to the line. A document of recurring lines alone gets an empty text.
     """
-    places = recurring_lines(docs, min_docs, variety).withColumnRenamed("key", "key__")
+    places = recurring_lines(docs, min_docs).withColumnRenamed("key", "key__")
     text = F.col("row__.text")
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("places"), i))
