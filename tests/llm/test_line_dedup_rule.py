@@ -40,3 +40,14 @@ def test_near_copies_keep_their_lines(spark):
     texts = ["\n".join(words(rng, 9) if p == i % 12 else x for p, x in enumerate(lines)) for i in range(30)]
     got = dropped(spark, texts)
     assert [got[i] for i in range(30)] == texts
+
+
+def test_blank_lines_blocks_and_headers(spark):
+    rng = random.Random(24)
+    own = lambda n=9: words(rng, n)
+    blank, a, b, c, h1, h2 = (words(rng, 5) for _ in range(6))
+    texts = ["\n\n".join([own(), blank, own()]) for _ in range(20)]
+    texts += ["\n".join([own(), a, b, c, own()]) for _ in range(20)]
+    texts += ["\n".join([h1, h2, own(), own()]) for _ in range(20)]
+    got = dropped(spark, texts)
+    assert not {blank, a, b, c, h1, h2} & {x for t in got.values() for x in t.split("\n")}
