@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import row_key, with_lookup
-
 # Known licence sentences (identifier, sentence as written in public licence notices).
 SENTENCES = [
     ("apache.line", "Licensed under the Apache License, Version 2.0."),
@@ -59,20 +57,25 @@ def normal(sentence: str) -> str:
 def scan_licenses(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row per document row: its columns, licenses (sorted, comma-joined, "" for none), n_sentences (known ones), rule_hits.
 
-    A sentence ends at a line break or after ".", "!" or "?" before white space (so a hard-wrapped notice must be unwrapped
-    before), and is compared after normalisation to lower-case words.
+    A sentence starts and ends at a line break or after ".", "!" or "?" before white space, and is compared after
+    normalisation to lower-case words. A known one may run over several lines, blank ones and comment marks included, so
+    hard-wrapped notices are found too; where two fit, the longer one counts.
     A rule hits if its identifiers follow one another among the document's known sentences; unknown sentences between them
     don't matter. Of rules that share a prefix, the longer one hides the shorter. Null and empty texts have no sentence.
-    The tables of sentences and rules are constants of the program and so bounded; texts are never shuffled.
+    The tables of sentences and rules are constants of the program and so bounded; each row is judged where it is.
     """
-    spark: SparkSession = docs.sparkSession
-    known = spark.createDataFrame([(normal(t), i, "") for i, t in sentences], "norm string, sid string, pad string").drop("pad").dropDuplicates(["norm"])
-    keyed = docs.select(row_key().alias("_key"), "text")
-    cut = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])\s+", "$1\n"), "\n")
-    found = keyed.select("_key", F.posexplode(cut).alias("pos", "sentence")).withColumn("norm", F.lower(F.trim(F.regexp_replace("sentence", "[^A-Za-z0-9]+", " "))))
-    found = found.join(F.broadcast(known), "norm").select("_key", "pos", "sid").distinct()
-    runs = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("run"))
-    runs = runs.select("_key", F.size("run").alias("n_sentences"), F.concat(F.lit(","), F.array_join(F.transform("run", lambda x: x["sid"]), ","), F.lit(",")).alias("ids"))
+    known: dict[str, str] = {}
+    for i, t in sentences:
+        known.setdefault(normal(t), i)
+    # one string of normalised pieces, each between line breaks; of a known sentence any space may be line breaks
+    pieces = F.regexp_replace(F.coalesce("text", F.lit("")), r"[.!?]\s+", "\n")
+    pieces = F.regexp_replace(F.lower(F.regexp_replace(pieces, r"[^A-Za-z0-9\n]+", " ")), r" ?\n ?", "\n")
+    longest = sorted(known, key=lambda x: (-len(x), x))
+    pattern = r"(?<![^\n])(?:" + "|".join(x.replace(" ", r"[ \n]+") for x in longest) + r")(?![^\n])"
+    found = F.regexp_extract_all(F.trim(pieces), F.lit(pattern), F.lit(0))
+    sids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    runs = docs.select(F.struct("*").alias("row__"), F.transform(found, lambda x: F.element_at(sids, F.regexp_replace(x, r"\n+", " "))).alias("run"))
+    runs = runs.select("row__", F.size("run").alias("n_sentences"), F.concat(F.lit(","), F.array_join("run", ","), F.lit(",")).alias("ids"))
     ordered = sorted(rules, key=lambda r: (-len(r[1]), r[0], r[1]))
     # Longer rules first: what they match is blanked, so a shorter rule can't count the same sentences again.
     hits = []
@@ -81,10 +84,9 @@ def scan_licenses(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES,
         runs = runs.withColumn(f"_r{k}", F.when(F.instr("ids", needle) > 0, F.lit(name)))
         runs = runs.withColumn("ids", F.replace(F.col("ids"), F.lit(needle), F.lit(",-,")))
         hits.append(f"_r{k}")
-    runs = runs.select("_key", "n_sentences", F.array_compact(F.array(*hits)).alias("h"))
-    runs = runs.select(F.col("_key").alias("key__"), F.col("n_sentences").alias("found_sentences"), F.size("h").alias("found_hits"), F.array_join(F.array_sort(F.array_distinct("h")), ",").alias("found_licenses"))
-    new = {"licenses": F.coalesce("found_licenses", F.lit("")), "n_sentences": F.coalesce("found_sentences", F.lit(0)), "rule_hits": F.coalesce("found_hits", F.lit(0))}
-    return with_lookup(docs, row_key(), runs, new)
+    runs = runs.select("row__", "n_sentences", F.array_compact(F.array(*hits)).alias("h"))
+    new = {"licenses": F.array_join(F.array_sort(F.array_distinct("h")), ","), "n_sentences": F.col("n_sentences"), "rule_hits": F.size("h")}
+    return runs.select(*[F.col(f"row__.`{c}`") for c in docs.columns if c not in new], *[x.alias(c) for c, x in new.items()])
 
 
 def oracle() -> str:
