@@ -17,23 +17,24 @@ from palisade.llm.common import Forest, components, mix64, row_key, stored, with
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Share of the pairs at the threshold itself that the runs should find at least; more similar pairs are found more often.
-RECALL = 0.999
-#: Splits before the first look at bucket sizes.
-DEPTH = 2
+#: Share of the pairs at the threshold itself that the runs should find at least, however often their buckets are split;
+#: more similar pairs, and pairs in buckets that are soon small, are found more often.
+RECALL = 0.99
+#: Splits before the first look at bucket sizes, and in all; what is still large then is a candidate group as it is.
+DEPTH, MAX_DEPTH = 2, 5
 #: Sets up to which a bucket is compared at once; a larger one is split again.
 SMALL = 128
-#: Splits in all, after which a large bucket becomes a candidate group as it is.
-MAX_DEPTH = 5
 SKETCH = 64
 #: Sketches that agree in fewer places are not verified. At similarity 0.8, 64 places agree in fewer than 38 of them once in 5,000 times.
 LOOKS_ALIKE = 38
-#: In a large bucket, sets whose sketch agrees with that of the bucket's least set in so many places are linked to it ...
-NEAR_LEAST = 28
-#: ... and in so many, they need no further split: whatever is similar to them is then near the least set too.
+#: In a large bucket, sets whose sketch agrees with that of the bucket's least set in so many places need no further split ...
 WITH_LEAST = 48
-#: Sets in a block of the exact comparison.
-VERIFY_BLOCK = 128
+#: ... as they are linked to it, and whatever looks like them agrees with it in so many places and is linked to it, too.
+NEAR_LEAST = WITH_LEAST + LOOKS_ALIKE - SKETCH
+#: Sets, and shingles of all of them, in a block of the exact comparison.
+VERIFY_BLOCK, VERIFY_SHINGLES = 1024, 1 << 21
+#: Tokens that are hashed at once below the nodes of a set's paths.
+_TOKENS_AT_ONCE = 1 << 15
 #: Large-bucket tables of up to this many rows (about 100 bytes each) are broadcast, and so are tables of candidates.
 BROADCAST_BUCKETS = 100_000
 BROADCAST_MEMBERS = 250_000
@@ -56,30 +57,62 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is found with the given probability.
+def runs_for(recall: float, depth: int | None = None) -> int:
+    """Runs after which a pair at the threshold is found with the given probability, even if all its buckets are split depth times.
 
     Such a pair shares a Poisson number of chosen children of mean 1 at least at each split, so a run misses it with the
     probability that this branching process has died out by then.
     """
     dead = 0.0
-    for _ in range(depth):
+    for _ in range(MAX_DEPTH if depth is None else depth):
         dead = float(np.exp(dead - 1))
     return ceil(log(1 - recall) / log(dead))
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> np.ndarray:
-    """The ends of a set's chosen paths over all runs: below a node, each token is taken if its hash there is less than 1 / (threshold * size)."""
-    rate = min(1.0, 1 / (threshold * len(tokens)))
-    limit = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+def _low(x: np.ndarray) -> np.ndarray:
+    return x & np.uint64(0xFFFFFFFF)
+
+
+def chosen(nodes: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the node, 32-bit mark of the token) for each token chosen below each node: its hash there is less than 1 / (threshold * size)."""
+    limit = np.uint64(min(int(min(1.0, 1 / (threshold * len(tokens))) * 2.0**64), 2**64 - 1))
+    odd, at, marks = nodes | np.uint64(1), [], []
+    for lo in range(0, len(tokens), _TOKENS_AT_ONCE):
+        part = tokens[lo : lo + _TOKENS_AT_ONCE]
+        i, j = np.nonzero(part[None, :] * odd[:, None] <= limit)
+        at.append(i)
+        marks.append(_low(mix64(nodes[i] ^ part[j])))
+    return np.concatenate(at), np.concatenate(marks)
+
+
+def child(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    return mix64(nodes ^ marks)
+
+
+def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: int | None = None, max_depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A set's nodes after depth splits over all runs, and for each the steps below it, down to max_depth splits.
+
+    A step is a parent's lower 32 bits beside the mark of a token chosen there; child() gives the node it leads to.
+    """
+    depth, max_depth = DEPTH if depth is None else depth, MAX_DEPTH if max_depth is None else max_depth
     nodes = mix64(np.arange(1, runs + 1, dtype=np.uint64))
     for _ in range(depth):
-        h = mix64(nodes[:, None] ^ tokens[None, :])
-        take = np.nonzero(mix64(h + np.uint64(1)) <= limit)
-        nodes = h[take]
+        if len(nodes):
+            at, marks = chosen(nodes, tokens, threshold)
+            nodes = np.unique(child(nodes[at], marks))
+    top, level = nodes, np.arange(len(nodes))  # level: the top node that each node is below
+    steps: list[list[np.ndarray]] = [[] for _ in top]
+    for _ in range(max_depth - depth):
         if not len(nodes):
             break
-    return np.unique(nodes)
+        at, marks = chosen(nodes, tokens, threshold)
+        if not len(at):
+            break
+        step, level = (_low(nodes[at]) << np.uint64(32)) | marks, level[at]
+        for k in np.unique(level).tolist():
+            steps[k].append(step[level == k])
+        nodes = child(nodes[at], marks)
+    return top, [np.concatenate(s) if s else np.empty(0, dtype=np.uint64) for s in steps]
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -91,7 +124,8 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return (mix64(out) >> np.uint64(56)).astype(np.uint8)
 
 
-_BASE = "doc_id long, key long, sig binary, sketch binary, buckets array<long>"
+_BASE = "doc_id long, key binary, sig binary, size long, sketch binary, buckets array<struct<bucket:long,steps:array<long>>>"
+_BUCKETS = pa.list_(pa.struct([("bucket", pa.int64()), ("steps", pa.list_(pa.int64()))]))
 
 
 def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -99,53 +133,55 @@ def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def describe(docs: DataFrame, runs: int, n: int, threshold: float) -> DataFrame:
-    """Per document row: its id and key, a digest of its shingle set (null if it has none), the sketch and the ends of its paths."""
+    """Per document row: its id and key, a digest of its shingle set (null if it has none) and its size, the sketch and the ends of its paths with the steps below."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, sk, ends = [], [], []
+            sig, size, sk, ends = [], [], [], []
             for t in b["text"].to_pylist():
                 s = shingles(t, n)
+                size.append(len(s))
                 if len(s):
+                    top, steps = paths(s, runs, threshold)
                     sig.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sk.append(sketch(s).tobytes())
-                    ends.append(paths(s, runs, threshold).view(np.int64))
+                    ends.append([{"bucket": x, "steps": y.view(np.int64)} for x, y in zip(top.view(np.int64).tolist(), steps, strict=True)])
                 else:
                     sig.append(None)
                     sk.append(None)
                     ends.append(None)
-            yield _batch([b["doc_id"], b["key"], sig, sk, ends], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())], ["doc_id", "key", "sig", "sketch", "buckets"])
+            yield _batch([b["doc_id"], b["key"], sig, size, sk, ends], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), _BUCKETS], ["doc_id", "key", "sig", "size", "sketch", "buckets"])
 
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, _BASE)
 
 
-def split_again(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows (sig, sketch, bucket, near) of the next split of rows (sig, sketch, bucket, low, low_sketch) in large buckets.
+def split_again(rows: DataFrame) -> DataFrame:
+    """Rows (sig, sketch, bucket, steps, near) of the next split of rows (sig, sketch, bucket, steps, low, low_sketch) in large buckets.
 
     A set near the bucket's least one gives a candidate link (bucket null, near the least set); one very near it ends there,
-    so a crowd of near copies isn't split on and on. The others go to children: below a bucket, each place of the sketch is
-    chosen if its hash there is less than 1 / (threshold * SKETCH), alike for all sets in the bucket; sets with equal bytes
-    there go on together.
+    so a crowd of near copies isn't split on and on. The others go to the children of the bucket on their paths.
     """
-    limit = np.uint64(int(2.0**64 / (threshold * SKETCH)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sk, low = (np.frombuffer(b"".join(b[c].to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in ("sketch", "low_sketch"))
             agree = (sk == low).sum(axis=1)
-            node = mix64(b["bucket"].to_numpy(zero_copy_only=False).view(np.uint64))
-            chosen = mix64(node[:, None] ^ _SEEDS[None, :])
-            # a bucket in which no place is chosen takes the place with the least hash, so that no path ends here
-            take = ((chosen <= limit) | (chosen == chosen.min(axis=1, keepdims=True))) & (agree < WITH_LEAST)[:, None]
-            r, c = np.nonzero(take)
-            child = mix64(chosen[r, c] + sk[r, c].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).view(np.int64)
+            node = b["bucket"].to_numpy(zero_copy_only=False).view(np.uint64)
+            lists = b["steps"]
+            lists = lists if isinstance(lists, pa.ListArray) else lists.cast(pa.list_(pa.int64()))
+            step = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+            take = ((step >> np.uint64(32)) == _low(node[row])) & (agree[row] < WITH_LEAST)
+            r = row[take]
+            below = child(node[r], _low(step[take])).view(np.int64)
             linked = np.flatnonzero(agree >= NEAR_LEAST)
             at = pa.array(np.concatenate([r, linked]))
-            bucket = pa.array(np.concatenate([child, np.zeros(len(linked), dtype=np.int64)]), mask=np.arange(len(r) + len(linked)) >= len(r))
+            bucket = pa.array(np.concatenate([below, np.zeros(len(linked), dtype=np.int64)]), mask=np.arange(len(r) + len(linked)) >= len(r))
             near = pa.concat_arrays([pa.nulls(len(r), pa.binary()), b["low"].take(pa.array(linked)).cast(pa.binary())])
-            yield pa.RecordBatch.from_arrays([b["sig"].take(at), b["sketch"].take(at), bucket, near], names=["sig", "sketch", "bucket", "near"])
+            steps = pa.concat_arrays([lists.take(pa.array(r)), pa.nulls(len(linked), pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_arrays([b["sig"].take(at), b["sketch"].take(at), bucket, steps, near], names=["sig", "sketch", "bucket", "steps", "near"])
 
-    return rows.select("sig", "sketch", "bucket", "low", "low_sketch").mapInArrow(run, "sig binary, sketch binary, bucket long, near binary")
+    return rows.select("sig", "sketch", "bucket", "steps", "low", "low_sketch").mapInArrow(run, "sig binary, sketch binary, bucket long, steps array<long>, near binary")
 
 
 def compare_small(rows: DataFrame) -> DataFrame:
@@ -186,13 +222,13 @@ def compare_small(rows: DataFrame) -> DataFrame:
     return rows.select("bucket", "sig", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary")
 
 
-def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
+def candidate_links(reps: DataFrame) -> DataFrame:
     """Links (a, b) between distinct sets such that, but for the recall, similar sets are connected.
 
-    Buckets are counted with map-side combination. Those of more than SMALL sets never meet in one task: their rows are split
-    on further tokens where they are. What is still large after MAX_DEPTH splits is linked to its least set unseen.
+    Buckets are counted with map-side combination. Those of more than SMALL sets never meet in one task: their rows go on to
+    the next tokens of their paths where they are. What is still large after MAX_DEPTH splits is linked to its least set unseen.
     """
-    rows, found, depth = reps.select("sig", "sketch", F.explode("buckets").alias("bucket")), None, DEPTH
+    rows, found, depth = reps.select("sig", "sketch", F.explode("buckets").alias("b")).select("sig", "sketch", "b.bucket", "b.steps"), None, DEPTH
     while True:
         sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("sig", "sketch")).alias("low")).filter(f"n > {SMALL}"), "large")
         n_large = sizes.count()
@@ -205,24 +241,21 @@ def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
         if depth >= MAX_DEPTH:
             found = found.unionByName(large.select(F.col("sig").alias("a"), F.col("low").alias("b")))
             break
-        split = stored(split_again(large, threshold), "split")
+        # a set's links to one least set, from many of its buckets, are one
+        split = stored(split_again(large).dropDuplicates(["sig", "bucket", "near"]), "split")
         found = found.unionByName(split.filter("near IS NOT NULL AND near != sig").select(F.col("sig").alias("a"), F.col("near").alias("b")))
-        rows = split.filter("bucket IS NOT NULL").select("sig", "sketch", "bucket")
+        rows = split.filter("bucket IS NOT NULL").select("sig", "sketch", "bucket", "steps")
         depth += 1
     return found
 
 
-_VERIFIED = "a binary, b binary, links long"
+def token_sets(members: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(comp, blocks, mine, sig, weight, tokens) of members (comp, sig, size, low: key of a row with that set, weight: how many there are).
 
-
-def verify(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Exact links inside candidate groups. members: (comp, sig, low: key of a row with that set, weight: how many there are).
-
-    Returns rows (a, null, links): documents that set a is linked to, and rows (a, b, 0): a spanning forest of the links.
-    Every pair of a group is compared once. A group of more than VERIFY_BLOCK sets is cut into blocks, each pair of which
-    is a task of its own, so no task gets more than two blocks of sets.
+    A group of more than VERIFY_BLOCK sets, or VERIFY_SHINGLES shingles, is cut into blocks by a hash; mine is a set's block.
     """
-    sized = members.join(members.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks")), "comp")
+    blocks = F.greatest(F.ceil(F.count("*") / VERIFY_BLOCK), F.ceil(F.sum("size") / VERIFY_SHINGLES)).cast("int")
+    sized = stored(members.join(members.groupBy("comp").agg(blocks.alias("blocks")), "comp"), "members")
     if sized.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
         sized = F.broadcast(sized)
     texts = docs.select(row_key().alias("low"), "text").join(sized, "low")
@@ -234,27 +267,35 @@ def verify(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
                 x = shingles(t, n)
                 keep.append(len(x) > 0 and xxhash.xxh3_128_digest(x.tobytes()) == s)  # should two rows' keys be equal by chance
                 tokens.append(x.tobytes())
-            out = pa.RecordBatch.from_arrays([b["comp"], b["sig"], b["weight"], b["blocks"], pa.array(tokens, pa.binary())], names=["comp", "sig", "weight", "blocks", "tokens"])
+            out = pa.RecordBatch.from_arrays([b["comp"], b["blocks"], b["sig"], b["weight"], pa.array(tokens, pa.binary())], names=["comp", "blocks", "sig", "weight", "tokens"])
             yield out.filter(pa.array(keep))
 
-    s = texts.select("comp", "sig", "weight", "blocks", "text").mapInArrow(sets, "comp binary, sig binary, weight long, blocks int, tokens binary")
-    s = s.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    # each set goes to the pairs of its block with every block, itself included
-    s = s.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    s = s.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    s = texts.select("comp", "blocks", "sig", "weight", "text").mapInArrow(sets, "comp binary, blocks int, sig binary, weight long, tokens binary")
+    return s.withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+
+
+_VERIFIED = "a binary, b binary, links long"
+
+
+def compare(sets: DataFrame, threshold: float) -> DataFrame:
+    """Exact links of rows (comp, x, y, left, right, sig, weight, tokens): inside each (comp, x, y), those between left and right rows.
+
+    Returns rows (a, null, links): documents that set a is linked to there, and rows (a, b, 0): a spanning forest of the links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for b in batches:
-                yield from zip(*(b[c].to_pylist() for c in ("comp", "x", "y", "mine", "sig", "weight", "tokens")), strict=True)
+                yield from zip(*(b[c].to_pylist() for c in ("comp", "x", "y", "left", "right", "sig", "weight", "tokens")), strict=True)
 
         a, b_, links = [], [], []
-        for (_, x, y), group in groupby(flat(), key=lambda r: r[:3]):
-            seen: dict[bytes, tuple[int, int, np.ndarray]] = {}
-            for _, _, _, mine, sig, weight, tokens in group:
-                seen.setdefault(sig, (mine, weight, np.frombuffer(tokens, dtype=np.uint64)))
+        for _, group in groupby(flat(), key=lambda r: r[:3]):
+            seen: dict[bytes, tuple[bool, bool, int, np.ndarray]] = {}
+            for _, _, _, left, right, sig, weight, tokens in group:  # equal sets from several rows with one key are one
+                old = seen.get(sig, (False, False))
+                seen[sig] = (left or old[0], right or old[1], weight, np.frombuffer(tokens, dtype=np.uint64))
             if len(seen) > 1:
-                for p, q, w in exact_links([(s, *v) for s, v in seen.items()], x != y, threshold):
+                for p, q, w in exact_links([(s, *v) for s, v in seen.items()], threshold):
                     a.append(p)
                     b_.append(q)
                     links.append(w)
@@ -264,41 +305,80 @@ def verify(members: DataFrame, docs: DataFrame, n: int, threshold: float) -> Dat
         if a:
             yield _batch([a, b_, links], [pa.binary(), pa.binary(), pa.int64()], ["a", "b", "links"])
 
-    s = s.select("comp", "x", "y", "mine", "sig", "weight", "tokens").repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
+    s = sets.select("comp", "x", "y", "left", "right", "sig", "weight", "tokens").repartition("comp", "x", "y").sortWithinPartitions("comp", "x", "y")
     return s.mapInArrow(run, _VERIFIED)
 
 
-def exact_links(sets: list[tuple[bytes, int, int, np.ndarray]], between: bool, threshold: float) -> Iterator[tuple[bytes, bytes | None, int]]:
-    """Links among (signature, block, weight, sorted tokens), or only those between the two blocks."""
-    n, size = len(sets), np.asarray([len(s[3]) for s in sets])
-    tokens, owner = np.concatenate([s[3] for s in sets]), np.repeat(np.arange(n), size)
+def exact_links(sets: list[tuple[bytes, bool, bool, int, np.ndarray]], threshold: float) -> Iterator[tuple[bytes, bytes | None, int]]:
+    """Links between left and right ones of (signature, left, right, weight, sorted tokens)."""
+    n, size = len(sets), np.asarray([len(s[4]) for s in sets])
+    left, right = (np.flatnonzero([s[k] for s in sets]) for k in (1, 2))
+    tokens, owner = np.concatenate([s[4] for s in sets]), np.repeat(np.arange(n), size)
     _, code, count = np.unique(tokens, return_inverse=True, return_counts=True)
     shared = count[code] > 1  # a token of one set meets no other
     code, owner = np.unique(code[shared], return_inverse=True)[1], owner[shared]
-    both = np.zeros((n, n), dtype=np.float32)
-    width = 4096
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        a, b = np.searchsorted(code, [lo, lo + width])
-        m = np.zeros((n, width), dtype=np.float32)
+    both, codes = np.zeros((len(left), len(right)), dtype=np.float32), int(code[-1]) + 1 if len(code) else 0
+    for lo in range(0, codes, 4096):
+        a, b = np.searchsorted(code, [lo, lo + 4096])
+        m = np.zeros((n, min(4096, codes - lo)), dtype=np.float32)
         m[owner[a:b], code[a:b] - lo] = 1
-        both += m @ m.T
+        both += m[left] @ m[right].T
     # J >= t, with integers on the left: both >= t * (|x| + |y| - both)
-    linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9
-    block = np.asarray([s[1] for s in sets])
-    linked &= block[:, None] != block[None, :] if between else ~np.eye(n, dtype=bool)
-    weight = np.asarray([s[2] for s in sets])
-    for i, w in enumerate((linked * weight[None, :]).sum(axis=1).tolist()):
-        if w:
-            yield sets[i][0], None, w
+    linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+    linked &= left[:, None] != right[None, :]
+    weight, total = np.asarray([s[3] for s in sets]), np.zeros(n, dtype=np.int64)
+    total[left] += (linked * weight[right][None, :]).sum(axis=1)
+    if not (len(left) == len(right) and (left == right).all()):  # two sides: what is seen from the left counts for the right as well
+        total[right] += (linked * weight[left][:, None]).sum(axis=0)
+    for i in np.flatnonzero(total).tolist():
+        yield sets[i][0], None, int(total[i])
     forest = Forest(n)
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        if forest.join(int(i), int(j)):
-            yield sets[i][0], sets[j][0], 0
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        if forest.join(int(left[i]), int(right[j])):
+            yield sets[left[i]][0], sets[right[j]][0], 0
 
 
-def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+def all_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Every link inside the groups, each pair of sets compared once: a block with itself, and each pair of blocks, is a task's work."""
+    s = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    s = s.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")})
+    return compare(s.withColumns({"left": F.col("mine") == F.col("x"), "right": F.col("mine") == F.col("y")}), threshold)
+
+
+def class_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that connect what links connect, without comparing every pair of a large group of near copies.
+
+    First each block is compared with its group's first block alone, which is as much work as there are sets. In groups of
+    several blocks the sets that are then outside their group's largest class are compared with the whole group: any other
+    link that matters joins two classes, and of these one at least isn't the largest.
+    """
+    to = F.when(F.col("mine") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    s = sets.withColumn("y", F.explode(to)).withColumn("x", F.lit(0))
+    first = stored(compare(s.withColumns({"left": F.col("mine") == 0, "right": F.col("mine") == F.col("y")}), threshold), "first_links").filter("b IS NOT NULL")
+    several = sets.filter("blocks > 1")
+    if several.isEmpty():
+        return first
+    classes = components(first.select("a", "b"))
+    of = several.select("comp", "blocks", "sig").join(classes.withColumnRenamed("node", "sig"), "sig", "left").select("comp", "blocks", "sig", F.coalesce("root", "sig").alias("root"))
+    of = stored(of, "classes")
+    largest = of.groupBy("comp", "root").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max(F.struct("n", "root")).alias("top"))
+    loose = of.join(largest, "comp").filter("root != top.root")
+    loose = loose.join(loose.groupBy("comp").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("loose_blocks")), "comp")
+    loose = stored(loose.select("comp", "sig", "loose_blocks"), "loose")
+    if loose.isEmpty():
+        return first
+    left = several.join(loose.select("sig", "loose_blocks"), "sig").withColumn("x", F.pmod(F.xxhash64("sig"), F.col("loose_blocks")).cast("int"))
+    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"left": F.lit(True), "right": F.lit(False)})
+    right = several.join(loose.select("comp", "loose_blocks").distinct(), "comp").withColumn("y", F.col("mine"))
+    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1))).withColumns({"left": F.lit(False), "right": F.lit(True)})
+    cols = ["comp", "x", "y", "left", "right", "sig", "weight", "tokens"]
+    second = stored(compare(left.select(*cols).unionByName(right.select(*cols)), threshold), "second_links").filter("b IS NOT NULL")
+    return first.unionByName(second)
+
+
+def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """Per document row: doc_id, class_id, n_links, and key and first_key (the row's key and that of the class's first row).
 
     Two documents are linked if the Jaccard similarity of their sets of n-word shingles is at least threshold; equal sets
@@ -307,30 +387,44 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = SH
     are repeated are linked to each other. Long texts are compared whole.
 
     Equal sets are joined into one first, with their count, so copies are never paired. Links between distinct sets are
-    found by chosen paths and sketches, then verified exactly inside candidate groups (every pair, in blocks).
+    found by chosen paths and sketches, then verified exactly inside candidate groups: to count links every pair of a group
+    is compared, in blocks. Without count_links (n_links is null then) only what decides on the classes is (see class_links).
     """
     base = stored(describe(docs, runs_for(recall), n, threshold), "sets")
     full = base.filter("sig IS NOT NULL")
-    reps = stored(full.groupBy("sig").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")), "distinct")
-    groups = components(candidate_links(reps, threshold))
-    members = groups.select(F.col("node").alias("sig"), F.col("root").alias("comp")).join(reps.select("sig", F.col("low.key").alias("low"), "weight"), "sig")
-    verified = stored(verify(stored(members, "members"), docs, n, threshold), "verified")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low")
+    reps = stored(full.groupBy("sig").agg(F.count("*").alias("weight"), low, F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets")), "distinct")
+    groups = components(candidate_links(reps))
+    members = groups.select(F.col("node").alias("sig"), F.col("root").alias("comp")).join(reps.select("sig", "size", F.col("low.key").alias("low"), "weight"), "sig")
+    sets = stored(token_sets(stored(members, "grouped"), docs, n), "tokens")
+    verified = stored(all_links(sets, threshold), "verified") if count_links else class_links(sets, threshold)
     classes = components(verified.filter("b IS NOT NULL").select("a", "b"))
-    links = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
     of = reps.select("sig", "low", "weight").join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = of.groupBy("root").agg(F.min("low").alias("first"))
-    of = of.join(least, "root").join(links.withColumnRenamed("a", "sig"), "sig", "left")
-    of = of.select("sig", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of = stored(of, "of")
+    least = stored(of.groupBy("root").agg(F.min("low").alias("first"), F.sum("weight").alias("rows")), "least")
+    of = of.join(least, "root")
+    if count_links:
+        links = verified.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))
+        of = of.join(links.withColumnRenamed("a", "sig"), "sig", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
+    else:
+        of = of.withColumn("n_links", F.lit(None).cast("long"))
     # only sets that occur more than once or have a link need to be looked up
-    of = stored(of.filter("n_links > 0"), "classes")
-    out = base.select("doc_id", "key", "sig").join(of, "sig", "left")
+    of = stored(of.filter("rows > 1").select("sig", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"), "n_links"), "classes")
+    alone = F.lit(0).cast("long") if count_links else F.lit(None).cast("long")
+    # rows without words share no key, so that they don't meet in one task
+    found = base.filter("sig IS NOT NULL").select("doc_id", "key", "sig").join(of, "sig", "left")
     none = F.col("first_key").isNull()
-    return out.select("doc_id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key", F.coalesce("first_key", "key").alias("first_key"))
+    found = found.select("doc_id", F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, alone).otherwise(F.col("n_links")).alias("n_links"), "key", F.coalesce("first_key", "key").alias("first_key"))
+    wordless = base.filter("sig IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), alone.alias("n_links"), "key", F.col("key").alias("first_key"))
+    return found.unionByName(wordless)
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their class. Of rows alike in id and text one stays."""
-    found = stored(similar_documents(docs, threshold, n).select("key", "first_key"), "found")
+    """The rows of docs, with all their columns, that are the first of their class.
+
+    Of rows alike in id and text one stays: the least by the text of all its columns as JSON. An empty table stays empty.
+    """
+    found = stored(similar_documents(docs, threshold, n, count_links=False).select("key", "first_key"), "found")
     kept = without(docs, row_key(), stored(found.filter("key != first_key").select(F.col("key").alias("key__")).distinct(), "gone"))
     again = stored(found.groupBy(F.col("key").alias("key__")).agg(F.count("*").alias("n")).filter("n > 1").select("key__"), "again")
     if again.isEmpty():
@@ -338,5 +432,5 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     # which of several rows alike stays: rows that occur once are not moved again
     once = without(kept, row_key(), again)
     row = kept.select(F.struct("*").alias("row__"), row_key().alias("key__")).join(again, "key__", "left_semi")
-    row = row.groupBy("key__").agg(F.first("row__").alias("row__")).select(*[F.col(f"row__.`{c}`") for c in kept.columns])
+    row = row.groupBy("key__").agg(F.min_by("row__", F.to_json("row__")).alias("row__")).select(*[F.col(f"row__.`{c}`") for c in kept.columns])
     return once.unionByName(row)
