@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import row_key, stored, with_lookup
+from palisade.llm.common import discard, row_key, stored, with_lookup
 
-#: Share of a line's tokens that lead to its leaf from the front, and as many from the end; those between are variable fields.
-FIXED = 0.35
+#: Tenths of a line's tokens, rounded up, that lead to its leaf, and that at least stay in its template.
+LEADING, STAYING = 3, 7
 #: Documents in which a template must occur to be dropped; copies of a document count as one.
 MIN_DOCS = 3
 #: Share of a document's characters in recurring lines up to which it is a text of its own, and from which a near copy of others.
@@ -16,8 +16,6 @@ OWN = 0.5
 NEAR_COPY = 0.8
 #: A document with fewer recurring lines is a text of its own, however long they are.
 COPIED_LINES = 3
-#: Former ratio of neighbours to documents; the operator no longer uses it, a test's definition still names it.
-VARIETY = 0.5
 #: A token with a digit, a link or an address is a variable field wherever it stands.
 _VARIABLE = r"(?<!\S)(?:[^\s\d]*+\d\S*+|https?://\S*+|[^\s@]++@\S++)"
 
@@ -28,31 +26,63 @@ def _masked(line: Column) -> Column:
     return F.trim(F.when(F.regexp_like(line, F.lit(r"[\d@\t\r\f]|://|  ")), rewritten).otherwise(line))
 
 
-def _templates(docs: DataFrame) -> DataFrame:
-    """(key, copy, total, lines) of each document row: its key, the hash of its masked lines, which copies share, their characters, and of each line its characters and template as a hash; blank lines have 0."""
+def _tokens(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, ' ', '')) + 1)"
+
+
+def _tenths(n: str, k: int) -> str:
+    return f"CAST(({k} * {n} + 9) DIV 10 AS INT)"
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(key, copy, total, leaf, masked) of each document row: its key, the hash of its masked lines, which copies share, their characters, and the leaf and the masked text of each line, side by side; blank lines have leaf 0.
+
+    A leaf is the hash of a line's number of tokens and its leading tokens: the path through a tree of fixed depth.
+    """
     d = docs.select(row_key().alias("key"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), _masked).alias("masked"))
-    # the fixed depth: token count, then the first and the last tokens; a short line has no token between
-    n = "(length(x) - length(replace(x, ' ', '')) + 1)"
-    k = f"CAST(ceil({FIXED} * {n}) AS INT)"
-    leaf = f"xxhash64({n}, substring_index(x, ' ', {k}), substring_index(x, ' ', -{k}))"
-    lines = F.expr(f"transform(masked, x -> struct(length(x) AS size, IF(x = '', 0L, {leaf}) AS template))")
-    return d.select("key", F.expr("xxhash64(filter(masked, x -> x != ''))").alias("copy"), F.length(F.array_join("masked", "")).alias("total"), lines.alias("lines"))
+    leaf = f"transform(masked, x -> IF(x = '', 0L, xxhash64({_tokens('x')}, substring_index(x, ' ', {_tenths(_tokens('x'), LEADING)}))))"
+    return d.select("key", F.expr("xxhash64(filter(masked, x -> x != ''))").alias("copy"), F.length(F.array_join("masked", "")).alias("total"), F.expr(leaf).alias("leaf"), "masked")
+
+
+def line_templates(lines: DataFrame) -> DataFrame:
+    """(leaf, line, template) of distinct lines (leaf, line: the hash of masked, masked).
+
+    The lines of a leaf are compared place by place: in how many of its lines does each token stand there. A line's template
+    keeps the tokens that stand in at least as many as its STAYING-tenths most frequent one; the others, the rarest, are
+    variable fields. A line that is alone in its leaf is its own template. Counts are combined map-side and joined, so a
+    leaf is never gathered; only the tokens of one line meet.
+    """
+    crowded = lines.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
+    several = lines.join(crowded, "leaf", "left_semi")
+    each = stored(several.select("leaf", "line", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("place", "token")), "tokens")
+    often = each.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"))
+    counted = each.join(often, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token", "n"))).alias("t"))
+    least = F.expr(f"array_sort(t.n)[size(t) - {_tenths('size(t)', STAYING)}]")
+    counted = counted.withColumn("least", least)
+    general = counted.select("leaf", "line", F.expr("xxhash64(leaf, transform(t, x -> IF(x.n >= least, x.token, 0L)))").alias("template"))
+    alone = lines.select("leaf", "line").join(crowded, "leaf", "left_anti").select("leaf", "line", F.xxhash64("leaf", "line").alias("template"))
+    return general.unionByName(alone)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, places): of each document with recurring lines its key, the hash of doc_id and text, and the lines' places from 0."""
-    arrays = stored(_templates(docs), "lines")
-    each = arrays.select("key", "copy", "total", F.posexplode("lines").alias("at", "z")).select("key", "copy", "total", "at", "z.*").filter("template != 0")
-    # most templates occur once; they are out after one count with map-side combination
-    often = stored(each.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("template"), "candidates")
-    each = stored(each.join(often, "template", "left_semi"), "often")
-
-    # lists of templates are tables before they are joined, so that a very common template's lines can be split over tasks
+    """(key, places): of each document with recurring lines its key and the lines' places from 0."""
+    arrays = stored(_lines(docs), "lines")
+    narrow = arrays.select("key", F.posexplode("leaf").alias("at", "leaf")).filter("leaf != 0")
+    # most leaves have one line only; they are out after one count with map-side combination
+    leaves = stored(narrow.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    whole = arrays.select("key", "copy", "total", F.posexplode(F.arrays_zip("leaf", "masked")).alias("at", "z")).select("key", "copy", "total", "at", "z.*").filter("leaf != 0")
+    each = whole.join(leaves, "leaf", "left_semi").withColumn("line", F.xxhash64("masked"))
+    each = stored(each.select("key", "copy", "total", "at", "leaf", "line", F.length("masked").alias("size"), "masked"), "candidates")
+    lines = stored(each.groupBy("leaf", "line").agg(F.min("masked").alias("masked")), "distinct")
+    templates = stored(line_templates(lines), "templates")
+    # what is joined is a table before, so that a very common line's rows can be split over tasks
+    each = stored(each.drop("masked").join(templates, ["leaf", "line"]).select("key", "copy", "total", "at", "size", "template"), "each")
     n = each.select("template", "copy").distinct().groupBy("template").agg(F.count("*").alias("n"))
     recurring = stored(n.filter(F.col("n") >= min_docs).select("template"), "recurring")
     each = stored(each.join(recurring, "template", "left_semi"), "recurring_lines")
-    shared = each.select("copy", "total", "at", "size").distinct().groupBy("copy", "total").agg(F.when(F.count("*") >= COPIED_LINES, F.sum("size") / F.col("total")).otherwise(0.0).alias("share"))
-    each = stored(each.select("key", "copy", "at", "template").join(shared.select("copy", "share"), "copy"), "shares")
+    discard(arrays)
+    shared = each.select("key", "total", "at", "size").distinct().groupBy("key", "total").agg(F.when(F.count("*") >= COPIED_LINES, F.sum("size") / F.col("total")).otherwise(0.0).alias("share"))
+    each = stored(each.select("key", "copy", "at", "template").join(shared.select("key", "share"), "key"), "shares")
     apart = each.filter(F.col("share") < NEAR_COPY).select("template", "copy", (F.col("share") < OWN).cast("int").alias("own")).distinct()
     n = apart.groupBy("template").agg(F.count("*").alias("n"), F.sum("own").alias("n_own"))
     dropped = stored(n.filter(F.col("n") >= min_docs).select("template", (F.col("n_own") >= min_docs).alias("everywhere")), "dropped")
@@ -60,11 +90,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return gone.groupBy("key").agg(F.collect_set("at").alias("places"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with all its columns and rows, its text without recurring lines, and n_lines and n_dropped.
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """docs with all its columns and rows, its text without recurring lines, and n_lines and n_dropped, which replace columns of that name.
+
+    Without counts there are no such columns; instead a column n_chars, if docs has one, follows the text where it changed.
 
-    A line's template is its leaf in a tree of fixed depth: its token count, then its first and its last tokens, FIXED of
-    them each. The tokens between, and any token with a digit, a link or an address, are variable fields.
+    A tree of fixed depth leads from a line's number of tokens over its leading tokens, LEADING tenths of them, to a leaf. In
+    the leaf its template is what stays of it, STAYING tenths of its tokens at least, beside its leaf's other lines (see
+    line_templates). A token with a digit, a link or an address is a variable field from the start.
 
     A template recurs if it occurs in at least min_docs different documents; those that are alike in all but blank lines and
     variable tokens are copies and count as one. It is dropped from every document if min_docs of its documents have less
@@ -73,8 +106,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     COPIED_LINES recurring lines counts as one with none. Otherwise it only recurs within near copies and stays,
     as they are left to a near-duplicate step; without this, the copies of an often copied text would all be emptied.
 
-    A null text stays null with no line; an empty one has one blank line; blank lines stay. Repeated rows are treated alike.
-    Other line ends than "\\n" belong to the line. A document of recurring lines alone gets an empty text.
+    A null text stays null with no line; an empty one has one blank line; blank lines stay. Repeated rows are treated alike;
+    an empty table gives no row. Other line ends than "\\n" belong to the line. A document of recurring lines alone gets an
+    empty text.
     """
     places = recurring_lines(docs, min_docs).withColumnRenamed("key", "key__")
     text = F.col("row__.text")
@@ -85,4 +119,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
         "n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)),
         "n_dropped": F.when(F.col("places").isNull(), 0).otherwise(F.size("places")),
     }
+    if not counts:
+        new = {"text": new["text"]}
+        if "n_chars" in docs.columns:
+            new["n_chars"] = F.when(F.col("places").isNull(), F.col("row__.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+        return with_lookup(docs, row_key(), places, new).select(*[F.col(f"`{c}`") for c in docs.columns])
     return with_lookup(docs, row_key(), places, new)
