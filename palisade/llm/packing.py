@@ -5,14 +5,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents in a group, on average. A group is packed by one task; only its tails of less than a sequence are held.
+from palisade.llm.common import BROADCAST_KEYS, stored
+
+#: Documents in a group, on average. Only a group's tails of less than a sequence are held.
 GROUP_DOCS = 2048
+#: Partitions that the groups are dealt to, at most; a task packs its groups one after another.
+MAX_PARTITIONS = 20_000
 #: Cached words of the tokenizer; when there are more, the cache starts afresh.
 CACHE_WORDS = 400_000
 TOKENIZER = "byte_bpe_50k"
@@ -180,11 +185,29 @@ def _pack_group(group: int, rows: Iterator[tuple], bpe: ByteBpe, capacity: int,
         seq += 1
 
 
+def one_by_one(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, copy) of rows (doc_id, text): copy numbers those that are alike in both from 1.
+
+    Only rows whose doc_id occurs more than once are grouped, with map-side combination; the ids themselves are a narrow column.
+    """
+    again = stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(1))
+    if again.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        again = F.broadcast(again)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    again = again.withColumnRenamed("doc_id", "again")
+    counted = rows.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.count("*").cast("int").alias("n"))
+    copies = counted.select("doc_id", "text", F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    return rows.join(again, same, "left_anti").withColumn("copy", F.lit(1)).unionByName(copies)
+
+
 def pack(docs: DataFrame, tokenizer_dir_names: tuple[str, str, str] | None = None, capacity: int = 1024, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
     """Pieces of all documents in sequences of at most capacity ids (see PIECES).
 
     Documents are dealt by a seeded hash of (doc_id, text) into groups of about group_docs, each packed on its own, so a
-    lost task repeats one group. A null text counts as empty and has the closing id 0 alone; equal rows each get their own
+    lost task repeats its groups only. Rows that are alike in both are counted first and their copies dealt one by one.
+    A null text counts as empty and has the closing id 0 alone; equal rows each get their own
     pieces; an empty table gives no piece. Within a group, rows are taken in the order of doc_id and text, nulls first.
     tokenizer_dir_names: paths of the JSON file and of the ranks file, and the pre-tokenizer's pattern; by default those of public_tokenizers.
     """
@@ -192,22 +215,20 @@ def pack(docs: DataFrame, tokenizer_dir_names: tuple[str, str, str] | None = Non
         import public_tokenizers as P
 
         tokenizer_dir_names = (P.path(f"{TOKENIZER}.json"), P.path(f"{TOKENIZER}.tiktoken"), P.PATTERN)
+    rows = one_by_one(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "g").sortWithinPartitions("g", "doc_id", "text")
+    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text", "copy"), F.lit(groups)).alias("g"))
+    dealt = dealt.repartition(min(groups, MAX_PARTITIONS), "g").sortWithinPartitions("g", "doc_id", "text")
     schema = pa.schema([(x.split()[0], pa.int64()) for x in PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(*tokenizer_dir_names)
         out: list[list] = [[] for _ in schema]
-        now, rows = None, []  # texts of one batch at most, tokenized when the group or the batch ends
 
         def flat():
             for batch in batches:
                 yield from zip(batch["g"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)
 
-        from itertools import groupby
-
         for now, rows in groupby(flat(), key=lambda r: r[0]):
             _pack_group(now, ((d, t) for _, d, t in rows), bpe, capacity, out)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
