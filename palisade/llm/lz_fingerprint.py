@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ from palisade.llm.common import mix64
 
 #: Minimum hashes in a signature, of 16 bits each.
 SIZE = 128
-#: Documents in one run of neighbours, on average.
-RUN_DOCS = 1024
+#: Documents in one run of neighbours, on average, and how many runs there are at most; more documents make longer runs.
+RUN_DOCS, MAX_RUNS = 1024, 20_000
+_LEAST = -(1 << 63)  # stands for a null id
 _BLOCK = 2048  # phrase hashes that are permuted at once
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _MULT = mix64(np.arange(1, SIZE + 1, dtype=np.uint64)) | np.uint64(1)
@@ -109,25 +111,27 @@ def fingerprint_edits(docs: DataFrame, run_docs: int = RUN_DOCS) -> DataFrame:
     """Per document row: its fingerprint, that of an edited text, and how like they and the next document's are (see _OUT).
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many first ones (or all) of the next
-    document in the order of doc_id (nulls first, equal ids by text); after the last row comes the first. A null text is
+    document in the order of doc_id (nulls first, equal ids by a hash of the text); after the last row comes the first. A null text is
     empty; a single row is its own next one; an empty table gives no row.
 
-    Rows are dealt by ranges of doc_id into runs of about run_docs, and the first row of each run also goes to the run
-    before it, so no task needs more than its own runs and nothing but the runs' first ids reaches the driver.
+    Rows are dealt by ranges of doc_id, and of a hash of the text where many share an id or have none, into at most MAX_RUNS
+    runs of about run_docs, and the first row of each run also goes to the run before it, so no task needs more than its own
+    run, which it reads row by row. What reaches the driver is one cut and one first row's key a run, however many rows
+    there are. Rows alike in id and text stay together.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = d.count()
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     if not n:
         return docs.sparkSession.createDataFrame([], _OUT)
-    runs = -(-n // run_docs)
-    cuts = sorted(set(d.stat.approxQuantile("doc_id", [k / runs for k in range(1, runs)], min(0.01, 0.1 / runs)))) if runs > 1 else []
+    runs = min(MAX_RUNS, -(-n // run_docs))
+    cuts = run_cuts(d, runs, n, nulls)
     d = d.withColumn("run", _run_of(cuts))
-    nulls_first = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first = [(r.run, r.low) for r in d.groupBy("run").agg(F.min(nulls_first).alias("low")).orderBy("run").collect()]
-    halo = docs.sparkSession.createDataFrame([(r, low, first[k - 1][0]) for k, (r, low) in enumerate(first)], "run long, low long, before long")
-    extra = d.join(F.broadcast(halo), "run").filter(nulls_first == F.col("low"))
-    extra = extra.select("doc_id", "text", F.col("before").alias("run"), F.lit(True).alias("halo"))
-    dealt = d.withColumn("halo", F.lit(False)).unionByName(extra).repartition(len(first), "run").sortWithinPartitions("run", "halo", "doc_id", "text")
+    nulls_first = F.coalesce("doc_id", F.lit(_LEAST))
+    first = [(r.run, *r.low) for r in d.groupBy("run").agg(F.min(F.struct(nulls_first, "h")).alias("low")).orderBy("run").collect()]
+    halo = docs.sparkSession.createDataFrame([(*f, first[k - 1][0]) for k, f in enumerate(first)], "run long, low long, low_h long, before long")
+    extra = d.join(F.broadcast(halo), "run").filter((nulls_first == F.col("low")) & (F.col("h") == F.col("low_h")))
+    extra = extra.select("doc_id", "text", "h", F.col("before").alias("run"), F.lit(True).alias("halo"))
+    dealt = d.withColumn("halo", F.lit(False)).unionByName(extra).repartition(len(first), "run").sortWithinPartitions("run", "halo", "doc_id", "h", "text")
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in _OUT.split(", ")]
 
@@ -170,14 +174,39 @@ def fingerprint_edits(docs: DataFrame, run_docs: int = RUN_DOCS) -> DataFrame:
     return dealt.mapInArrow(go, _OUT)
 
 
-def _run_of(cuts: list[float]):
-    """How many cuts lie at or below doc_id; 0 for null. Only the ids go to Python, for a binary search."""
+def run_cuts(d: DataFrame, runs: int, n: int, nulls: int) -> list[tuple[int, int]]:
+    """At most about runs sorted pairs (id, hash) that cut rows (doc_id, h) into runs of about n / runs rows.
+
+    An id that several quantiles fall on is cut by even steps of the hash, and so are the rows without id.
+    """
+    if runs < 2:
+        return []
+    at = d.stat.approxQuantile("doc_id", [k / runs for k in range(1, runs)], 0.1 / runs) if nulls < n else []
+    ids = Counter(map(int, at))
+    if nulls:
+        ids[_LEAST] += nulls * runs // n
+    out = []
+    for i, times in ids.items():
+        # the first cut is at the id itself, further ones at even steps of the hash
+        out += [(i, _LEAST + (1 << 64) * k // times) for k in range(times)] if times else []
+    return sorted(set(out))
+
+
+def _run_of(cuts: list[tuple[int, int]]):
+    """How many cuts lie at or below (doc_id, h). Only these two go to Python, for a binary search."""
     if not cuts:
         return F.lit(0).cast("long")
-    at = np.asarray(cuts)
+    ids, first = np.unique(np.asarray([i for i, _ in cuts], dtype=np.int64), return_index=True)
+    steps, ends = np.asarray([h for _, h in cuts], dtype=np.int64), np.append(first, len(cuts))
 
     @F.pandas_udf("long")
-    def run_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, ids.fillna(-np.inf).to_numpy(dtype=float), side="right"))
-
-    return run_of("doc_id")
+    def run_of(doc_ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        i, h = doc_ids.to_numpy(dtype=np.int64), hashes.to_numpy(dtype=np.int64)
+        before = np.searchsorted(ids, i, side="right")
+        out = ends[before].copy()
+        for k in np.unique(before[before > 0]) - 1:  # ids that several cuts fall on
+            if ends[k + 1] - first[k] > 1 and (mine := i == ids[k]).any():
+                out[mine] = first[k] + np.searchsorted(steps[first[k] : ends[k + 1]], h[mine], side="right")
+        return pd.Series(out)
+
+    return run_of(F.coalesce("doc_id", F.lit(_LEAST)), "h")
