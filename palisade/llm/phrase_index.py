@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from palisade.llm.common import row_key, stored, without
 
 WINDOW = 10
-#: Characters of benchmark text that are searched at once (their terms and phrases go to every task); more text means more rounds.
-BLOCK_CHARS = 32_000_000
+#: Characters of benchmark text that are searched at once, and whose terms and windows (some 12 bytes a character, in arrays
+#: but for the dictionary of terms) go to every task; more text means more rounds, a longer item is a round of its own.
+BLOCK_CHARS = 8_000_000
 #: Characters of documents in one shard of the index, on average; a longer document is a shard of its own.
 SHARD_CHARS = 8_000_000
+#: Places in a shard that are compared with windows at once.
+_PLACES = 1 << 20
 #: How far, in words, the anchors of a proximity match may be displaced.
 SLOP = 5
 
@@ -29,20 +32,35 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """A block of benchmark items: its vocabulary and windows. Items without words are left out; equal windows are searched once."""
+    """A block of benchmark items: its vocabulary and, by length, its different windows as rows of term numbers.
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.window, self.terms = window, {}
-        windows: dict[tuple[int, ...], set[str]] = {}
+    Items without words are left out. The items of window k of a length are owners[ends[k - 1]:ends[k]].
+    """
+
+    def __init__(self, items: Iterable[tuple[object, str | None]], window: int = WINDOW):
+        self.window, self.terms, self.items = window, {}, []
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                windows.setdefault(tuple(ids[at : at + window]), set()).add(str(item))
-        self.windows = [(w, list(range(len(w))), s) for w, s in sorted(windows.items())]
+            ids = np.asarray([self.terms.setdefault(w, len(self.terms)) for w in words(text)], dtype=np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                rows.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(ids, n))
+                owners.setdefault(n, []).append(np.full(len(ids) - n + 1, len(self.items), dtype=np.int32))
+                self.items.append(str(item))
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in sorted(rows):
+            pairs = np.unique(np.hstack([np.concatenate(rows.pop(n)), np.concatenate(owners.pop(n))[:, None]]), axis=0)
+            new = np.append(True, (pairs[1:, :n] != pairs[:-1, :n]).any(axis=1))
+            windows = np.ascontiguousarray(pairs[new, :n])
+            self.by_length.append((windows, np.tile(np.arange(n), (len(windows), 1)), pairs[:, n].copy(), np.append(np.flatnonzero(new)[1:], len(pairs))))
 
     def rarest_first(self, counts: dict[int, int]) -> None:
         """Order each window's offsets by how often the training documents have the term there."""
-        self.windows = [(w, sorted(order, key=lambda o: (counts.get(w[o], 0), w[o], o)), s) for w, order, s in self.windows]
+        n = np.zeros(len(self.terms) + 1, dtype=np.int64)
+        for t, c in counts.items():
+            n[t] = c
+        self.by_length = [(w, np.lexsort((w, n[w]), axis=1).astype(np.int32), o, e) for w, _, o, e in self.by_length]
 
 
 def build_shard(texts: list[str | None], terms: dict[bytes, int], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,45 +86,70 @@ def build_shard(texts: list[str | None], terms: dict[bytes, int], gap: int) -> t
 def search_shard(starts: np.ndarray, ends: np.ndarray, positions: np.ndarray, phrases: Phrases, slop: int) -> tuple[np.ndarray, dict[int, set[str]], dict[int, set[str]]]:
     """(whether each position is hit, items of exact phrases by document number, items of proximity matches) of a shard.
 
-    For every window the list of its rarest term is shifted by the term's offset; each further list, rarest first, is
-    shifted likewise and intersected with it, until nothing is left or all terms agree: an exact phrase. A proximity match
-    has the window's three rarest terms each within slop words of its place beside the rarest.
+    Windows are grouped by their rarest term. That term's list, shifted by its offset, is where a window may begin; the
+    further terms, rarest first, are looked up at their offsets from there, many windows' places at once, until nothing is
+    left or all terms agree: an exact phrase. A proximity match has the window's three rarest terms each within slop words
+    of its place beside the rarest, whatever the other terms.
     """
-    lists, at = {}, 0
-    for term, end in ends.T.tolist():
-        lists[term] = positions[at:end]
-        at = end
-    hit, exact, near = np.zeros(int(starts[-1]) + 1, dtype=bool), {}, {}
-    for window, order, items in phrases.windows:
-        if any(t not in lists for t in window):
-            continue
-        first = lists[window[order[0]]]
-        got = first - order[0]
-        for o in order[1:]:
-            li = lists[window[o]]
-            place = np.minimum(np.searchsorted(li, got + o), len(li) - 1)
-            got = got[li[place] == got + o]
-            if not len(got):
-                break
-        for s in got.tolist():
-            hit[s : s + len(window)] = True
-        for doc in np.unique(np.searchsorted(starts, got, side="right") - 1).tolist():
-            exact.setdefault(doc, set()).update(items)
-        anchors = list({window[o]: o for o in reversed(order)}.values())[::-1][:3]
-        if len(window) < phrases.window or len(anchors) < 3:
-            continue
-        keep = first
-        for o in anchors[1:]:
-            li = lists[window[o]]
-            from_ = keep + (o - anchors[0]) - slop
-            place = np.minimum(np.searchsorted(li, from_), len(li) - 1)
-            keep = keep[(li[place] >= from_) & (li[place] <= from_ + 2 * slop)]
-        for doc in np.unique(np.searchsorted(starts, keep, side="right") - 1).tolist():
-            near.setdefault(doc, set()).update(items)
+    known = len(phrases.terms)
+    begin, end = np.zeros(known, dtype=np.int64), np.zeros(known, dtype=np.int64)
+    begin[ends[0]], end[ends[0]] = np.append(0, ends[1][:-1]), ends[1]
+    size, pad = int(starts[-1]), phrases.window + 2 * slop + 1
+    # which term stands where, with room at both ends
+    at = np.full(size + 2 * pad + 1, -1, dtype=np.int32)
+    at[positions + pad] = np.repeat(ends[0], np.diff(ends[1], prepend=0))
+    hit, exact, near = np.zeros(size + 1, dtype=bool), {}, {}
+
+    def put(into: dict[int, set[str]], windows: np.ndarray, places: np.ndarray, owners: np.ndarray, owner_ends: np.ndarray) -> None:
+        docs = np.searchsorted(starts, places, side="right") - 1
+        for d, k in np.unique(np.stack([docs, windows], axis=1), axis=0).tolist():
+            into.setdefault(d, set()).update(phrases.items[o] for o in owners[owner_ends[k - 1] if k else 0 : owner_ends[k]])
+
+    for windows, order, owners, owner_ends in phrases.by_length:
+        n = windows.shape[1]
+        terms = np.take_along_axis(windows, order, axis=1)
+        here = end[terms] > begin[terms]
+        # offsets of the three rarest different terms, -1 where there are fewer
+        anchors = np.full((len(windows), 3), -1)
+        if n == phrases.window:
+            later = np.zeros(terms.shape, dtype=bool)
+            for k in range(n):
+                later[:, k] = (terms[:, :k] == terms[:, k : k + 1]).any(axis=1)
+            rank = np.cumsum(~later, axis=1)
+            for a in range(3):
+                has, k = ((rank == a + 1) & ~later).any(axis=1), ((rank == a + 1) & ~later).argmax(axis=1)
+                anchors[has, a] = k[has]
+        whole, close = here.all(axis=1), (anchors >= 0).all(axis=1)
+        close &= np.where(close, np.take_along_axis(here, np.maximum(anchors, 0), axis=1).all(axis=1), False)
+        todo = np.flatnonzero(whole | close)
+        todo = todo[np.argsort(terms[todo, 0], kind="stable")]
+        length = (end - begin)[terms[todo, 0]]
+        cuts = np.searchsorted(np.cumsum(length), np.arange(_PLACES, int(length.sum()) + _PLACES, _PLACES)) + 1
+        for part in np.split(todo, np.unique(cuts[cuts < len(todo)])) if len(todo) else ():
+            count = (end - begin)[terms[part, 0]]
+            w = np.repeat(part, count)
+            p = positions[np.repeat(begin[terms[part, 0]] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(int(count.sum()))]
+            keep = whole[w]
+            we, pe = w[keep], p[keep] - order[w[keep], 0]
+            for k in range(1, n):
+                same = at[pe + order[we, k] + pad] == terms[we, k]
+                we, pe = we[same], pe[same]
+            for k in range(n):
+                hit[pe + k] = True
+            put(exact, we, pe, owners, owner_ends)
+            keep = close[w]
+            wc, pc = w[keep], p[keep]
+            for a in (1, 2):
+                k = anchors[wc, a]
+                to, found = pc + order[wc, k] - order[wc, 0] + pad, np.zeros(len(wc), dtype=bool)
+                for d in range(-slop, slop + 1):
+                    found |= at[to + d] == terms[wc, k]
+                wc, pc = wc[found], pc[found]
+            put(near, wc, pc, owners, owner_ends)
     return hit, exact, near
 
 
-_INDEX = "doc_ids binary, keys binary, starts binary, ends binary, positions binary"
+_INDEX = "doc_ids binary, keys array<binary>, starts binary, ends binary, positions binary"
 
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -122,8 +165,9 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, shard_chars:
         def shard():
             starts, ends, positions = build_shard(texts, shared.value, gap)
             known = np.asarray([i is not None for i in ids]).tobytes() + np.asarray([i or 0 for i in ids], dtype=np.int64).tobytes()
-            row = [known, np.asarray(keys, dtype=np.int64).tobytes(), starts.tobytes(), ends.tobytes(), np.diff(positions, prepend=0).astype(np.int32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["doc_ids", "keys", "starts", "ends", "positions"])
+            row = [known, starts.tobytes(), ends.tobytes(), np.diff(positions, prepend=0).astype(np.int32).tobytes()]
+            row = [pa.array([x], pa.binary()) for x in row]
+            return pa.RecordBatch.from_arrays([row[0], pa.array([keys], pa.list_(pa.binary())), *row[1:]], names=["doc_ids", "keys", "starts", "ends", "positions"])
 
         for batch in batches:
             for i, k, t in zip(*(batch[c].to_pylist() for c in ("doc_id", "key", "text")), strict=True):
@@ -152,26 +196,26 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.select("ends").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-_FOUND = "doc_id long, key long, n_words long, hits array<int>, items array<string>, near array<string>"
+_FOUND = "doc_id long, key binary, n_words long, hits array<int>, items array<string>, near array<string>"
 
 
 def search_index(index: DataFrame, phrases: Phrases, gap: int, slop: int = SLOP) -> DataFrame:
     """Matches of the phrases in an index, one row a document: hit word positions, items of exact and of proximity matches."""
     shared = index.sparkSession.sparkContext.broadcast(phrases)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in zip(*(batch[c].to_pylist() for c in ("doc_ids", "keys", "starts", "ends", "positions")), strict=True):
                 n = len(raw[0]) // 9
-                known, ids, keys = np.frombuffer(raw[0][:n], dtype=bool), np.frombuffer(raw[0][n:], dtype=np.int64), np.frombuffer(raw[1], dtype=np.int64)
+                known, ids, keys = np.frombuffer(raw[0][:n], dtype=bool), np.frombuffer(raw[0][n:], dtype=np.int64), raw[1]
                 starts, ends = np.frombuffer(raw[2], dtype=np.int64), np.frombuffer(raw[3], dtype=np.int64).reshape(2, -1)
                 positions = np.cumsum(np.frombuffer(raw[4], dtype=np.int32), dtype=np.int64)
                 hit, exact, near = search_shard(starts, ends, positions, shared.value, slop)
                 rows = []
                 for d in range(n):
                     a, b = int(starts[d]), int(starts[d + 1]) - gap
-                    rows.append((int(ids[d]) if known[d] else None, int(keys[d]), b - a, np.flatnonzero(hit[a:b]).tolist(), sorted(exact.get(d, ())), sorted(near.get(d, set()) - exact.get(d, set()))))
+                    rows.append((int(ids[d]) if known[d] else None, keys[d], b - a, np.flatnonzero(hit[a:b]).tolist(), sorted(exact.get(d, ())), sorted(near.get(d, set()) - exact.get(d, set()))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "key", "n_words", "hits", "items", "near"])
 
     return index.mapInArrow(run, _FOUND)
@@ -183,7 +227,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     A window is window consecutive words of an item; an item of fewer words, but not none, is one window. A word inside any
     occurrence of a window is hit. near_items are those with a proximity match and no exact one. Null and empty texts have
     no words; an empty benchmark hits nothing; repeated rows of documents each get a row; a repeated item counts once by
-    its id, and one without an id is left out.
+    its id, and one without an id is left out. Many items with one window are its items alike.
 
     The benchmark is searched in blocks of about block_chars characters, so what goes to every task is bounded. The index
     of a block holds the positions of that block's terms and is written to the shared folder, shard by shard.
@@ -193,7 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     found = None
     for k in range(blocks):
         part = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        phrases = Phrases([(r.item_id, r.text) for r in part.toLocalIterator()], window)
+        phrases = Phrases(((r.item_id, r.text) for r in part.toLocalIterator()), window)
         index = stored(build_index(docs, phrases.terms, gap), "index")
         phrases.rarest_first({r.term: r.n for r in term_counts(index).toLocalIterator()})
         one = search_index(index, phrases, gap, slop)
