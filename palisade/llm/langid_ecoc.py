@@ -9,13 +9,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palisade.llm.common import gram_counts, unit_rows
 
-#: Rows of each language that the bit classifiers are fitted on, at most (those with the smallest hashes of their ids).
+#: Different rows of each language that the bit classifiers are fitted on: about so many, and never more than twice as many.
 SAMPLE_PER_LANG = 1000
+#: Languages that are learned, at most: those with the most rows, equal ones by name.
+MAX_LANGS = 256
 LOG2_DIMS = 11
 GRAMS = (1, 2, 3)
 RIDGE = 1.0
@@ -43,20 +45,34 @@ def features(spaced: str) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """A matrix of +1 and -1, languages x bits, in which no two rows and no two columns (nor their opposites) are equal."""
+    """A matrix of +1 and -1, languages x bits, in which no two rows are equal, and no two columns equal or opposite.
+
+    Column by column the random split is taken, of several, that leaves the closest rows farthest apart.
+    """
     if n <= 1:
         return np.ones((n, 1))
     if n <= EXHAUSTIVE:
         cols = [c for k in range(n - 1) for c in combinations(range(1, n), k)]  # language 0 is always +1, some other is -1
         return np.asarray([[1 if i == 0 or i in c else -1 for c in cols] for i in range(n)], dtype=float)
-    rng, bits = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n)))
-    best = None
-    for _ in range(50):  # of several random codes, the one whose closest rows are farthest apart
-        m = rng.choice([-1.0, 1.0], (n, bits))
-        apart = ((bits - m @ m.T) / 2 + bits * np.eye(n)).min()
-        if best is None or apart > best[0]:
-            best = apart, m
-    return best[1]
+    rng, bits, seen = np.random.default_rng(seed), int(np.ceil(10 * np.log2(n))), set()
+    code, apart = np.empty((n, 0)), np.full((n, n), np.inf)
+    apart[~np.eye(n, dtype=bool)] = 0
+    while code.shape[1] < bits:
+        best = None
+        for _ in range(20):
+            c = rng.choice([-1.0, 1.0], n)
+            c *= c[0]
+            if abs(c.sum()) == n or c.tobytes() in seen:
+                continue
+            now = apart + (c[:, None] != c[None, :])
+            low = now.min()
+            rank = (low, -(now == low).sum())
+            if best is None or rank > best[0]:
+                best = rank, c, now
+        if best:
+            seen.add(best[1].tobytes())
+            code, apart = np.hstack([code, best[1][:, None]]), best[2]
+    return code
 
 
 @dataclass
@@ -77,13 +93,38 @@ class EcocModel:
         return best, 1 / p.sum(1), margin
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, ridge: float = RIDGE) -> EcocModel:
-    """Fit on docs (doc_id, text, lang): of each language about per_lang rows, by a hash of id and text against a share of its count.
+def fit_bits(x: np.ndarray, y: np.ndarray, code: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge regressions of the codewords' bits on unit vectors x (with a constant), in which every language weighs the same."""
+    per = np.bincount(y, minlength=len(code)).astype(float)
+    w = (len(y) / (np.count_nonzero(per) * per[y]))[:, None]
+    return np.linalg.solve(x.T @ (x * w) + ridge * np.eye(x.shape[1]), x.T @ (code[y] * w))
+
+
+def fit_model(langs: list[str], x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> EcocModel:
+    """The model of feature vectors x of languages number y; how far a bit is trusted comes from halves that it was not fitted on."""
+    x, code = np.hstack([unit_rows(x.astype(np.float32)).astype(np.float64), np.ones((len(x), 1))]), codewords(len(langs))
+    order = np.argsort(y, kind="stable")
+    half = np.empty(len(y), dtype=int)
+    half[order] = np.arange(len(y)) % 2  # every language is halved, but for an odd row
+    right = np.zeros((len(y), code.shape[1]))
+    for k in (0, 1):
+        test, train = half == k, half != k
+        if train.any():
+            right[test] = np.sign(x[test] @ fit_bits(x[train], y[train], code, ridge)) == code[y[test]]
+    # a language seen once or never right still trusts all its bits alike
+    trust = np.stack([right[y == k].mean(0) for k in range(len(langs))]) + 1e-6
+    return EcocModel(langs, code, fit_bits(x, y, code, ridge), trust / trust.sum(1, keepdims=True))
+
+
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, ridge: float = RIDGE, max_langs: int = MAX_LANGS) -> EcocModel:
+    """Fit on docs (doc_id, text, lang): of each language about per_lang different rows, by a hash of id and text against a share of its count.
 
-    The number of languages is small by nature, so counts and the sample's vectors reach the driver; texts don't.
+    Repeated rows count once in the sample. The counts of at most max_langs languages and the sample's vectors, at most
+    2 * per_lang a language, reach the driver; texts don't.
     """
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").withColumn("h", F.xxhash64("doc_id", "text"))
+    counted = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different"))
+    counts = {r.lang: r.different for r in counted.orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
     if not counts:
         return EcocModel([], np.zeros((0, 1)), np.zeros(((1 << LOG2_DIMS) + 1, 1)), np.zeros((0, 1)))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "lang string, share double")
@@ -92,23 +133,17 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, ridge: float = RIDGE)
         for b in batches:
             spaced = [letters(t) for t in b["text"].to_pylist()]
             x = [features(s).astype(np.float16).tobytes() if has_letter(s) else None for s in spaced]
-            yield pa.RecordBatch.from_arrays([b["lang"], pa.array(x, pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([b["lang"], b["h"], pa.array(x, pa.binary())], names=["lang", "h", "x"])
 
-    picked = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
-    got = sorted((r.lang, bytes(r.x)) for r in picked.mapInArrow(run, "lang string, x binary").collect() if r.x is not None)
-    langs = sorted({k for k, _ in got})
+    picked = hashed.join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    once = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = once.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))).filter(F.col("k") <= 2 * per_lang)
+    got = sorted((r.lang, r.h, bytes(r.x)) for r in few.select("lang", "h", "text").mapInArrow(run, "lang string, h long, x binary").collect() if r.x is not None)
+    langs = sorted({k for k, _, _ in got})
     if not langs:
         return fit(docs.limit(0))
-    y = np.asarray([langs.index(k) for k, _ in got])
-    x = unit_rows(np.stack([np.frombuffer(v, dtype=np.float16) for _, v in got]).astype(np.float32)).astype(np.float64)
-    x, code = np.hstack([x, np.ones((len(x), 1))]), codewords(len(langs))
-    per = np.bincount(y, minlength=len(langs)).astype(float)
-    w = (len(y) / (len(langs) * per))[y]  # every language weighs the same
-    a = x.T @ (x * w[:, None]) + ridge * np.eye(x.shape[1])
-    weights = np.linalg.solve(a, x.T @ (code[y] * w[:, None]))
-    right = (np.sign(x @ weights) == code[y]).astype(float)
-    trust = np.stack([right[y == k].mean(0) for k in range(len(langs))]) + 1e-6
-    return EcocModel(langs, code, weights, trust / trust.sum(1, keepdims=True))
+    number = {k: i for i, k in enumerate(langs)}
+    return fit_model(langs, np.stack([np.frombuffer(v, dtype=np.float16) for _, _, v in got]), np.asarray([number[k] for k, _, _ in got]), ridge)
 
 
 def predict(docs: DataFrame, model: EcocModel, ambiguous: float = AMBIGUOUS) -> DataFrame:

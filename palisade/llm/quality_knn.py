@@ -74,9 +74,10 @@ class KnnModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, rank: int = RANK, neighbours: int = NEIGHBOURS) -> KnnModel:
-    """Fit on a bounded sample: of each class, the per_class labelled ids with the smallest hashes, and all their texts.
+    """Fit on a bounded sample: of each class, the per_class labelled ids with the smallest hashes, and one text of each.
 
-    The sample's feature vectors (DIMS numbers each) reach the driver, not its texts. Without labels the model says 0.5.
+    An id with several texts gives the one with the smallest hash, and an id with both labels counts for both. The sample's
+    feature vectors (2 x per_class, of DIMS numbers each) reach the driver, not its texts. Without labels the model says 0.5.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct().withColumn("h", F.xxhash64("doc_id"))
@@ -89,7 +90,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             x = [features(t).astype(np.float16).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array(x, pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in docs.select("doc_id", "text").filter("text IS NOT NULL AND text != ''").join(sample, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect())
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL AND text != ''").join(sample, "doc_id")
+    one = texts.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("doc_id", "y", "t.text")
+    rows = sorted((r.doc_id, r.y, bytes(r.x)) for r in one.mapInArrow(run, "doc_id long, y int, x binary").collect())
     if not rows:
         return KnnModel(np.zeros(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
     y = np.asarray([r[1] for r in rows], dtype=np.float64)
