@@ -11,6 +11,8 @@ from palisade.llm.common import with_lookup
 BROADCAST_RULES = 200_000
 #: Hex digits of SHA-256 that the equi-join uses; the full digest is compared afterwards.
 PREFIX_HEX = 8
+#: Combinations of labels and path length in the rules up to which they reach the driver and guide the expansion.
+MAX_SHAPES = 10_000
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -31,28 +33,32 @@ def _digest(host, path):
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """Adds host, path, rule and verdict to pages (which has a column url; other columns stay).
+def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", max_shapes: int = MAX_SHAPES) -> DataFrame:
+    """Adds host, path, rule and verdict to pages (which has a column url; other columns stay, but for any of these names).
 
     A rule fits its host and every subdomain if the path starts with the rule's path. The longest rule (host and path
-    together, then the longer host, then the text) wins; without one, rule is null and verdict is default.
+    together, then the longer host, then the text) wins; of one rule with both verdicts, block does. Without a rule, rule
+    is null and verdict is default. Null urls are judged where they are, without a join.
     Null and odd urls have an empty host and path, which fit no rule with a host. An empty rule table leaves the default.
 
     Each distinct url is expanded once: host suffixes of as many labels as some rule has, times path prefixes of as many
-    characters as some rule has. So the expansion is bounded by the rule shapes and not by the url's length.
+    characters as some rule has. So the expansion is bounded by the rule shapes and not by the url's length. Should there
+    be more than MAX_SHAPES of them, a url is expanded to all its host suffixes times all its path prefixes instead.
     """
-    rules = rules.select("verdict", "rule_host", "rule_path").filter("verdict IS NOT NULL AND rule_host IS NOT NULL AND rule_path IS NOT NULL").dropDuplicates(["rule_host", "rule_path"])
-    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().limit(10_001).collect()
-    if len(shapes) > 10_000:
-        raise ValueError("more than 10,000 combinations of labels and path length in the rules")
+    rules = rules.filter("verdict IS NOT NULL AND rule_host IS NOT NULL AND rule_path IS NOT NULL").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
+    shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().limit(max_shapes + 1).collect()
     if not shapes:
         return split_urls(pages).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     keyed = rules.select("verdict", "rule_host", "rule_path", _digest(F.col("rule_host"), F.col("rule_path")).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_HEX))
     if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
-    shape_list = F.array(*[F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in sorted(shapes)])
-    urls = split_urls(pages.select("url").filter("url IS NOT NULL").distinct())
-    parts = urls.withColumn("parts", F.split("host", r"\.")).withColumn("shape", F.explode(shape_list)).filter("shape.labels <= size(parts) AND shape.chars <= length(path)")
+    urls = split_urls(pages.select("url").filter("url IS NOT NULL").distinct()).withColumn("parts", F.split("host", r"\."))
+    if len(shapes) <= max_shapes:
+        shape = F.explode(F.array(*[F.struct(F.lit(s.labels).alias("labels"), F.lit(s.chars).alias("chars")) for s in sorted(shapes)]))
+        parts = urls.withColumn("shape", shape).filter("shape.labels <= size(parts) AND shape.chars <= length(path)")
+    else:
+        parts = urls.withColumn("labels", F.explode(F.sequence(F.lit(1), F.size("parts")))).withColumn("chars", F.explode(F.sequence(F.lit(0), F.length("path"))))
+        parts = parts.withColumn("shape", F.struct("labels", "chars"))
     expressions = parts.select(
         "url",
         F.array_join(F.expr("slice(parts, size(parts) - shape.labels + 1, shape.labels)"), ".").alias("suffix"),
@@ -62,7 +68,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     order = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("n"), F.length("rule_host").alias("h"), F.col("rule_host").alias("t"))
     best = hits.groupBy("url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), order).alias("best"))
     best = best.select(F.col("url").alias("key__"), "best")
-    return with_lookup(split_urls(pages), F.col("url"), best, {"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
+    judged = with_lookup(split_urls(pages.filter("url IS NOT NULL")), F.col("url"), best, {"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
+    without = split_urls(pages.filter("url IS NULL")).withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    return judged.unionByName(without)
 
 
 ORACLE = """

@@ -96,7 +96,7 @@ def records(key: str, page_id: int | None, url: str | None, payload: bytes, refe
     if page_id is not None:
         fields.append(("X-Page-ID", str(page_id)))
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}:{digest}>"), ("X-Refers-To-Page", str(refers_to))]
     block = http_block(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n", None if revisit else payload)
     if len(block) <= segment_bytes:
         yield _record(fields, block)
@@ -157,9 +157,12 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
             for k in range(batch.num_rows):
                 page_id, url, payload, refers_to = (c[k].as_py() for c in cols)
                 row += 1
-                # the smallest page of a payload is what revisits refer to; a null id can't be
-                key = str(page_id) if page_id is not None else f"null-{task.partitionId()}-{row}"
-                for member in records(key if refers_to is None else f"{key}:revisit:{task.partitionId()}-{row}", page_id, url, payload or b"", refers_to, segment_bytes):
+                # a response's identifier is its page and payload, which revisits refer to: rows alike in both write one
+                # record twice, and it is read twice; what nothing refers to is told apart by its place
+                key = f"{page_id}:{base32_sha1(payload or b'')}"
+                if page_id is None or refers_to is not None:
+                    key = f"{key}:{task.partitionId()}-{row}"
+                for member in records(key, page_id, url, payload or b"", refers_to, segment_bytes):
                     if out is None:
                         names.append(f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(names):04d}.warc.gz")
                         out, n_bytes, n_rec = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0, 0
