@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share. It is deleted when the application ends.
 
     Only a local master may go without that setting (tests); it then gets a temporary folder.
     """
@@ -29,7 +29,18 @@ def work_dir(spark: SparkSession) -> str:
         if app not in _OWN_WORK_DIR:
             _OWN_WORK_DIR[app] = "file://" + tempfile.mkdtemp("palisade")
         base = _OWN_WORK_DIR[app]
-    return f"{base.rstrip('/')}/palisade-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/palisade-{uuid.uuid4().hex}"
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()
+    path.getFileSystem(conf).deleteOnExit(path)
+    return folder
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored() table that nothing will read any more; the others go when the application ends."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,8 +52,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    """A document row's key: the hash of its id and text. Rows alike in both share it and are treated alike."""
-    return F.xxhash64("doc_id", "text")
+    """A document row's key: 128 bits of hashes of its id and text. Rows alike in both share it and are treated alike."""
+    half = lambda *salt: F.lpad(F.hex(F.xxhash64(*salt, "doc_id", "text")), 16, "0")
+    return F.unhex(F.concat(half(), half(F.lit(1))))
 
 
 def with_lookup(rows: DataFrame, key: Column, found: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -57,8 +69,8 @@ def with_lookup(rows: DataFrame, key: Column, found: DataFrame, new: dict[str, C
     return out.select(*[F.col(f"row__.`{c}`") for c in rows.columns if c not in new], *[F.col(f"new__.`{c}`") for c in new])
 
 
-#: Lists of keys (8 bytes each) up to this length are broadcast; a longer one is joined by shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Lists of keys (16 bytes each) up to this length are broadcast; a longer one is joined by shuffle.
+BROADCAST_KEYS = 250_000
 
 
 def without(rows: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
@@ -133,13 +145,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).filter("ups > 1 OR (ups = 1 AND root = 1)").isEmpty():
             break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # tables of minima, so that a hub's edges can be split over tasks when they are joined
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large.filter("u != v").distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = stored(small.filter("u != v").distinct(), "edges")
+        before, e = e, stored(small.filter("u != v").distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

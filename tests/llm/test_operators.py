@@ -88,6 +88,24 @@ def test_latent_basis():
     assert quality_knn.latent_basis(x[:2], 48).shape == (50, 2)
 
 
+def test_quality_fit_against_brute_force(spark):
+    """The fitted sample is what its definition says, and the basis spans the exact first singular vectors."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 20 + i) + ("!!" if i % 2 else "")) for i in range(60)] + [(3, "another text")] * 50 + [(61, None), (62, "")]
+    labels = [(i, i % 2) for i in range(63)]
+    m = quality_knn.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), per_class=20, rank=5)
+    h = {r.i: r.h for r in spark.range(63).select(F.col("id").alias("i"), F.xxhash64("id").alias("h")).collect()}
+    texts = dict(rows[:60])
+    picked = [i for y in (0, 1) for i in sorted((i for i, q in labels if q == y), key=lambda i: h[i])[:20] if i < 60]
+    assert len(m.labels) == len(picked) and m.labels.sum() == sum(i % 2 for i in picked)
+    if 3 not in picked:
+        x = common.unit_rows(np.stack([quality_knn.features(texts[i]).astype(np.float16).astype(np.float32) for i in sorted(picked)]))
+        assert np.abs(m.centre - x.mean(0)).max() < 1e-4
+        top = np.linalg.svd(x - x.mean(0), full_matrices=False)
+        kept = np.linalg.norm((x - x.mean(0)) @ m.basis) ** 2
+        assert kept == pytest.approx((top[1][:5] ** 2).sum(), rel=0.02)
+
+
 def test_quality_awkward(spark):
     d = awkward(spark)
     labels = spark.createDataFrame([(1, 1, 0), (7, 0, 0), (7, 1, 0), (99, 0, 0), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
@@ -110,15 +128,59 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 20])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 7, 8, 9, 20, 100])
 def test_codewords(n):
     code = langid_ecoc.codewords(n)
     assert len({tuple(r) for r in code}) == n
+    if n > 1:
+        assert len({tuple(c * c[0]) for c in code.T}) == code.shape[1]  # no two columns equal or opposite
+        assert all(abs(c.sum()) < n for c in code.T)
     if 2 < n <= langid_ecoc.EXHAUSTIVE:
         apart = [(a != b).sum() for i, a in enumerate(code) for b in code[:i]]
         assert min(apart) == 2 ** (n - 2)  # so 2 ** (n - 3) - 1 wrong bits are corrected at least
 
 
+def test_language_decoding_against_brute_force():
+    """Bits, trust, losses and the ambiguity margin, computed one by one from the definition."""
+    rng = np.random.default_rng(4)
+    for k in (1, 2, 3, 7):
+        y = rng.integers(0, k, 60)
+        y[:k] = range(k)
+        x = (rng.random((60, 1 << langid_ecoc.LOG2_DIMS)) < 0.02) + 2.0 * (np.arange(1 << langid_ecoc.LOG2_DIMS)[None, :] % 11 == y[:, None])
+        m = langid_ecoc.fit_model([f"l{i}" for i in range(k)], x, y)
+        code, u = langid_ecoc.codewords(k), np.hstack([common.unit_rows(x.astype(np.float32)).astype(float), np.ones((60, 1))])
+        per = Counter(y.tolist())
+        for b in range(code.shape[1]):  # the ridge regression's gradient is zero
+            w = np.asarray([60 / (k * per[i]) for i in y])
+            gradient = u.T @ (w * (u @ m.weights[:, b] - code[y, b])) + langid_ecoc.RIDGE * m.weights[:, b]
+            assert np.abs(gradient).max() < 1e-6
+        assert np.allclose(m.trust.sum(1), 1) and (m.trust > 0).all()
+        q = x[:9] + rng.random((9, x.shape[1])) * 0.1
+        best, score, margin = m.decode(q)
+        for r in range(9):
+            v = np.append(q[r] / np.linalg.norm(q[r]), 1.0)
+            out = [float(v @ m.weights[:, b]) for b in range(code.shape[1])]
+            loss = [sum(m.trust[i, b] * np.log1p(np.exp(-2 * code[i, b] * out[b])) for b in range(code.shape[1])) for i in range(k)]
+            order = sorted(range(k), key=lambda i: (loss[i], i))
+            assert best[r] == order[0]
+            assert score[r] == pytest.approx(1 / sum(np.exp(-8 * (x_ - min(loss))) for x_ in loss), rel=1e-5)
+            want = (loss[order[1]] - loss[order[0]]) / max(max(loss) - min(loss), 1e-12) if k > 1 else 1.0
+            assert margin[r] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_language_ties_go_to_the_first():
+    m = langid_ecoc.EcocModel(["a", "b", "c"], np.ones((3, 2)), np.ones(((1 << langid_ecoc.LOG2_DIMS) + 1, 2)), np.full((3, 2), 0.5))
+    best, score, margin = m.decode(np.eye(1, 1 << langid_ecoc.LOG2_DIMS))
+    assert best[0] == 0 and score[0] == pytest.approx(1 / 3) and margin[0] < langid_ecoc.AMBIGUOUS
+
+
+def test_language_sample_is_bounded(spark):
+    rng = random.Random(3)
+    rows = [(i, words(rng, 8), "en") for i in range(300)] + [(900, words(rng, 8), "fr")] * 400 + [(901 + i, "x y", f"junk{i}") for i in range(30)]
+    m = langid_ecoc.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20, max_langs=2)
+    assert m.langs == ["en", "fr"]
+
+
 def test_language_awkward(spark):
     d = awkward(spark)
     model = langid_ecoc.fit(d)
@@ -208,6 +270,46 @@ def test_join_awkward(spark):
     assert chosen_path.similar_documents(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [chosen_path.SMALL, 2])
+def test_recall_at_the_threshold(spark, monkeypatch, small):
+    """Pairs of similarity 0.8 exactly (40 of 50 shingles), through the whole operator; with buckets of 2 all are split to the end."""
+    monkeypatch.setattr(chosen_path, "SMALL", small)
+    rng = random.Random(13)
+    texts = []
+    for _ in range(300):
+        w = words(rng, 49).split()
+        texts.append(" ".join(w))
+        w[24] = "zzzzzzzz"
+        texts.append(" ".join(w))
+    assert brute_links(texts[:2]) == [{1}, {0}]
+    for count in (True, False):
+        got = {r.doc_id: r for r in chosen_path.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_links=count).collect()}
+        found = sum(got[2 * i + 1].class_id == 2 * i for i in range(300))
+        assert found >= chosen_path.RECALL * 300 - 3
+        assert not any(got[2 * i].class_id != 2 * i for i in range(300))
+
+
+def test_classes_of_a_large_group_in_blocks(spark, monkeypatch):
+    """Chains of near copies, cut into small blocks: classes without all pairs are those with all pairs."""
+    monkeypatch.setattr(chosen_path, "VERIFY_BLOCK", 6)
+    rng = random.Random(17)
+    texts = []
+    for _ in range(3):
+        chain = words(rng, 120).split()
+        for k in range(25):  # each is like the one before it, and less and less like the first
+            texts.append(" ".join(chain))
+            chain[(k * 11) % 120] = words(rng, 1)
+    texts += near_copies(rng, words(rng, 120), 40, 1)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in chosen_path.similar_documents(d, count_links=False).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(brute_links(texts))
+
+
+def test_which_of_equal_rows_stays(spark):
+    d = spark.createDataFrame([(1, "one two three", "b"), (1, "one two three", "a"), (1, "one two three", "c")], "doc_id long, text string, source string")
+    assert [r.source for r in chosen_path.keep_one_of_each(d).collect()] == ["a"]
+
+
 def test_runs_reach_recall():
     rng = random.Random(8)
     found = 0
@@ -217,7 +319,7 @@ def test_runs_reach_recall():
         w[50] = "zzzzzzzz"
         x, y = chosen_path.shingles(a), chosen_path.shingles(" ".join(w))
         runs = chosen_path.runs_for(chosen_path.RECALL)
-        found += bool(set(chosen_path.paths(x, runs).tolist()) & set(chosen_path.paths(y, runs).tolist()))
+        found += bool(set(chosen_path.paths(x, runs)[0].tolist()) & set(chosen_path.paths(y, runs)[0].tolist()))
     assert found >= 198
 
 
@@ -282,6 +384,12 @@ def test_packing_awkward(spark):
     d = awkward(spark)
     check_packing(packing.pack(d).collect(), [(r.doc_id, r.text) for r in d.collect()])
     assert packing.pack(d.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "one text"), (None, None)], "doc_id long, text string").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500))))
+    rows = packing.one_by_one(same.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    assert sorted(r.copy for r in rows.filter("doc_id = 1").collect()) == list(range(1, 501)) and rows.count() == 1000
+    pieces = packing.pack(same, group_docs=100).collect()
+    check_packing(pieces, [(r.doc_id, r.text) for r in same.collect()])
+    assert len({r.sequence_id >> 32 for r in pieces}) == 10  # spread over all groups
 
 
 @settings(max_examples=60, deadline=None)
@@ -327,55 +435,82 @@ def packing_bpe():
 
 def brute_lines(texts: list[tuple]) -> dict:
     """(id, text) -> places of lines to drop, by the definition."""
-    from math import ceil
+    L = line_templates
 
-    def template(line: str):
+    def masked(line: str) -> str:
         if re.search(r"[\d@\t\r\f]|://|  ", line):
-            line = re.sub(r"\s+", " ", re.sub(r"(?a)(?<!\S)(?:[^\s\d]*\d\S*|https?://\S*|[^\s@]+@\S+)", "<*>", line))
-        t = line.strip(" ").split(" ")
-        k = ceil(line_templates.FIXED * len(t))
-        return (len(t), tuple(t[:k]), tuple(t[-k:])) if line.strip(" ") else None
-
-    seen: dict = {}
-    for doc in set(texts):
-        ts = [template(x) for x in (doc[1] or "").split("\n")]
-        for p, t in enumerate(ts):
-            if t is not None:
-                seen.setdefault(t, []).append((doc, p, ts[p - 1] if p else "none", ts[p + 1] if p + 1 < len(ts) else "none"))
+            line = re.sub(r"(?a)\s+", " ", re.sub(r"(?a)(?<!\S)(?:[^\s\d]*\d\S*|https?://\S*|[^\s@]+@\S+)", "<*>", line))
+        return line.strip(" ")
+
+    docs = {doc: [masked(x) for x in (doc[1] or "").split("\n")] for doc in set(texts)}
+    leaf = lambda m: (len(m.split(" ")), *m.split(" ")[: -(-L.LEADING * len(m.split(" ")) // 10)])
+    leaves: dict = {}
+    for ms in docs.values():
+        for m in filter(None, ms):
+            leaves.setdefault(leaf(m), set()).add(m)
+    template = {}
+    for ms in leaves.values():
+        count = Counter((p, t) for m in ms for p, t in enumerate(m.split(" ")))
+        for m in ms:
+            n = [count[p, t] for p, t in enumerate(m.split(" "))]
+            least = sorted(n, reverse=True)[-(-L.STAYING * len(n) // 10) - 1]
+            template[m] = tuple(t if k >= least else None for k, t in zip(n, m.split(" "), strict=True))
+    copy = {doc: tuple(filter(None, ms)) for doc, ms in docs.items()}
+    of: dict = {}
+    for doc, ms in docs.items():
+        for m in filter(None, ms):
+            of.setdefault(template[m], set()).add(copy[doc])
+    recurring = {t for t, copies in of.items() if len(copies) >= L.MIN_DOCS}
+    share = {}
+    for doc, ms in docs.items():
+        sizes = [len(m) for m in ms if m and template[m] in recurring]
+        share[copy[doc]] = sum(sizes) / sum(map(len, ms)) if len(sizes) >= L.COPIED_LINES else 0.0
     out: dict = {}
-    for occ in seen.values():
-        docs, kinds = len({o[0] for o in occ}), max(len({o[2] for o in occ}), len({o[3] for o in occ}))
-        if docs >= line_templates.MIN_DOCS and kinds >= max(line_templates.MIN_DOCS, line_templates.VARIETY * docs):
-            for o in occ:
-                out.setdefault(o[0], set()).add(o[1])
+    for doc, ms in docs.items():
+        for p, m in enumerate(ms):
+            if m and template[m] in recurring:
+                apart = [share[c] for c in of[template[m]] if share[c] < L.NEAR_COPY]
+                everywhere = sum(x < L.OWN for x in apart) >= L.MIN_DOCS
+                if len(apart) >= L.MIN_DOCS and (everywhere or share[copy[doc]] < L.NEAR_COPY):
+                    out.setdefault(doc, set()).add(p)
     return out
 
 
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(6)
     rows = []
-    passage = words(rng, 60)
+    passage, foot = words(rng, 60), [words(rng, n) for n in (5, 1, 8)]
     copied = "\n".join(words(rng, 8) for _ in range(6))
-    for i in range(40):
-        lines = [words(rng, 9) for _ in range(rng.randrange(1, 6))]
+    near = [words(rng, 10) for _ in range(8)]
+    few = "ab cd ef".split()
+    for i in range(60):
+        lines = [words(rng, 9) for _ in range(rng.randrange(1, 6) if i < 40 else 25)]
+        lines += [" ".join(rng.choice(few) for _ in range(4)) for _ in range(i % 3)]  # lines that share tokens by chance
         if i % 2:
             lines.insert(rng.randrange(len(lines) + 1), f"Page {i} of 40, printed 2024-01-{i:02d} by x{i}@example.org")
         if i % 3 == 0:
             lines.insert(rng.randrange(len(lines) + 1), passage)
+        if i % 4 == 0:
+            lines.append(f"this article was written by {words(rng, 1)}")
         if i % 5 == 0:
             lines += ["", "  "]
-        rows.append((i, "\n".join(lines)))
-    rows += [(100 + i, copied) for i in range(10)] + [(200, None), (201, "")]
+        rows.append((i, "\n".join(lines + foot)))
+    for i in range(12):
+        rows.append((300 + i, "\n".join(words(rng, 10) if p == i % 8 else x for p, x in enumerate(near))))
+    rows += [(100 + i, copied) for i in range(10)] + [(110, copied.replace("\n", "\n\n")), (200, None), (201, ""), (3, rows[3][1])]
     got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute_lines(rows)
     texts = dict(rows)
+    assert len(got) == len(rows)
     for r in got:
         t = texts[r.doc_id]
         gone = want.get((r.doc_id, t), set())
         assert r.n_dropped == len(gone)
         assert r.text == (t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone))
     by = {r.doc_id: r for r in got}
-    assert all(passage not in (r.text or "") and "Page" not in (r.text or "") for r in got)
+    for i in range(60):
+        t = by[i].text.split("\n")
+        assert not {passage, *foot} & set(t) and "Page" not in by[i].text and "this article was" not in by[i].text
     assert all(by[100 + i].text == copied for i in range(10))  # copies are left to the near-duplicate step
 
 
@@ -385,6 +520,8 @@ def test_line_dedup_awkward(spark):
     assert out.count() == d.count()
     assert set(out.columns) == {*d.columns, "n_dropped"}
     assert line_templates.drop_recurring_lines(d.limit(0)).count() == 0
+    same = line_templates.drop_recurring_lines(d, counts=False)
+    assert same.schema == d.schema and {r.n_lines for r in same.collect()} == {"clash"}
 
 
 # 6 and 7 --------------------------------------------------------------------------------------------------------------
@@ -394,9 +531,22 @@ def test_licenses(spark):
     notice = "\n\n".join(t for i, t in license_rules.SENTENCES if i in ("mit.grant", "mit.notice"))
     rows = [(1, "Hi. Released under the MIT License. Bye"), (2, notice), (3, "MIT is a school."), (4, None), (5, ""), (6, "SPDX-License-Identifier: Apache-2.0\nAll rights reserved."), (7, "released UNDER the mit license")]
     got = {r.doc_id: r for r in license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[i].licenses for i in range(1, 8)] == ["MIT", "MIT", "", "", "", "Apache-2.0,Proprietary", "MIT"]
+    assert [got[i].licenses for i in range(1, 8)] == ["MIT", "MIT", "", "", "", "Apache-2.0", "MIT"]
     assert got[2].rule_hits == 1 and got[2].n_sentences == 2
     assert license_rules.scan_licenses(awkward(spark)).count() == awkward(spark).count()
+    assert license_rules.scan_licenses(awkward(spark).limit(0)).count() == 0
+    rows = [(1, "word " * 400_000 + "\nReleased under the MIT License.\n" + "word. " * 100_000), (2, "All rights reserved."), (3, "Copyright X. All rights reserved.\n\n" + "\n".join(t for i, t in license_rules.SENTENCES if i.startswith("bsd.")))]
+    got = {r.doc_id: r for r in license_rules.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licenses for i in (1, 2, 3)] == ["MIT", "Proprietary", "BSD-3-Clause"]
+    assert got[3].rule_hits == 1 and got[3].n_sentences == 5
+
+
+def test_every_license_is_known_by_its_names(spark):
+    lines = license_rules.known_lines()
+    got = license_rules.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {k: i.removeprefix("line:") for k, (i, _) in enumerate(lines)}
+    known = [license_rules.normal(t) for _, t in license_rules.default_sentences()]
+    assert all(any(w in k for w in license_rules.needed_words(known)) for k in known)
 
 
 def test_url_rules(spark):
@@ -419,6 +569,17 @@ def test_url_rules(spark):
     assert [(r.url, r.host, r.path, r.rule, r.verdict) for r in got] == cases
     assert {r.verdict for r in url_rules.judge_urls(d, url_rules.rule_table(spark, []), "block").collect()} == {"block"}
     assert url_rules.judge_urls(d.limit(0), url_rules.rule_table(spark, url_rules.RULES)).count() == 0
+    every = url_rules.judge_urls(d, url_rules.rule_table(spark, url_rules.RULES), max_shapes=1).orderBy("page_id").collect()
+    assert [(r.url, r.host, r.path, r.rule, r.verdict) for r in every] == cases  # too many shapes: all prefixes
+
+
+def test_url_ties_and_long_urls(spark):
+    rules = [("allow", "x.org", "/a"), ("block", "x.org", "/a"), ("allow", "org", "/abcd"), ("block", "b.x.org", "/")]
+    urls = ["http://x.org/abc", "http://b.x.org/abc", "http://x.org/" + "a" * 100_000, "http://x.org/abc"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge_urls(d, url_rules.rule_table(spark, rules)).orderBy("page_id").collect()
+    # of one rule with both verdicts block counts; of equally long ones the one with the longer host
+    assert [(r.rule, r.verdict) for r in got] == [("x.org/a", "block"), ("b.x.org/", "block"), ("x.org/a", "block"), ("x.org/a", "block")]
 
 
 # 8 --------------------------------------------------------------------------------------------------------------------
@@ -463,6 +624,9 @@ def test_proximity(spark):
     assert by[2].items == ["5"] and by[2].near_items == []
     assert by[1].items == [] and by[1].near_items == ["5"]
     assert by[3].near_items == []
+    # whether a neighbour in the shard has the word that is missing doesn't matter
+    alone = phrase_index.find_contamination(spark.createDataFrame([(1, item.replace("gamma", "delta"))], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"))
+    assert alone.first().near_items == ["5"]
 
 
 def test_contamination_awkward(spark):
@@ -528,6 +692,16 @@ def test_fingerprints_awkward(spark):
     d = awkward(spark)
     assert lz_fingerprint.fingerprint_edits(d).count() == d.count()
     assert lz_fingerprint.fingerprint_edits(d.filter("doc_id = 8")).first().near_next == 1.0
+    # a third of the rows with one id, a third with none
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, words(rng, 12)) for i in range(90)]
+    many = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in lz_fingerprint.fingerprint_edits(many, 5).collect() if r.doc_id)
+    assert got == sorted(tuple(r) for r in lz_fingerprint.fingerprint_edits(many, 1000).collect() if r.doc_id)
+    hashed = many.withColumn("h", F.xxhash64("text"))
+    cuts = lz_fingerprint.run_cuts(hashed, 18, 90, 30)
+    sizes = [r["count"] for r in hashed.withColumn("run", lz_fingerprint._run_of(cuts)).groupBy("run").count().collect()]
+    assert sum(sizes) == 90 and max(sizes) <= 20
     assert lz_fingerprint.fingerprint_edits(d.limit(0)).count() == 0
 
 
@@ -579,6 +753,19 @@ def test_warc_missing_segment(spark, tmp_path):
         list(warc_segments.parse(members[0][:-9]))
 
 
+def test_warc_pages_with_one_id(spark, tmp_path):
+    """Rows that share a page_id but not a payload have records of their own, segments included."""
+    rows = [(7, f"http://x/{k}", c * 3000) for k, c in enumerate("abc")] + [(8, "http://y", "a" * 3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc_segments.write_archives(warc_segments.plan_revisits(pages), folder, segment_bytes=500).collect()
+    files = spark.read.format("binaryFile").load(folder)
+    ids = [f["warc-record-id"] for r in files.collect() for f, _ in warc_segments.parse(bytes(r.content))]
+    assert len(set(ids)) == len(ids)
+    got = [(r.page_id, r.record_type, bytes(r.payload or b"")[:1], r.refers_to) for r in warc_segments.read_archives(files).collect()]
+    assert sorted(got) == [(7, "response", b"a", None), (7, "response", b"b", None), (7, "response", b"c", None), (8, "revisit", b"", 7)]
+
+
 def test_warc_awkward(spark):
     rows = [(1, None, None), (2, "http://a", ""), (2, "http://a", ""), (None, "http://b", "x"), (None, None, None), (3, "http://c", "y" * 300_000), (4, "http://d", "y" * 300_000)]
     got = warc_segments.round_trip(spark.createDataFrame([(*r, "c", "c") for r in rows], "page_id long, url string, html string, payload string, refers_to string")).collect()

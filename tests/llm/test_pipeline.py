@@ -46,3 +46,21 @@ def test_planted(spark):
     left = corpus_pipeline.decontamination(spark, once, SF)
     assert {r.doc_id for r in left.collect()} == {i for i, _ in clean}
     assert corpus_pipeline.line_dedup(spark, docs, SF).count() == docs.count()
+
+
+def test_awkward_stages(spark):
+    """Clashing columns, null ids, repeated rows and empty tables keep the columns and what isn't rejected."""
+    from .test_operators import awkward
+
+    docs = awkward(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert out.filter("row__ != 'clash'").isEmpty()
+        ids = {r.doc_id for r in out.collect()}
+        if name in ("line_dedup", "packing"):
+            assert ids == {r.doc_id for r in docs.collect()}
+        if name in ("near_duplicates", "decontamination"):
+            assert {None, 3, 4, 7} <= ids
+        assert stage(spark, docs.limit(0), SF).count() == 0
