@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 
-#: Bytes of folded text beyond which nothing is decoded, rounds of decoding, and entropy that base64 and base32 runs need.
-DECODE_BYTES, DECODE_ROUNDS, DECODE_ENTROPY = 262_144, 2, 3.5
+#: Rounds of decoding, and entropy that base64 and base32 runs need.
+DECODE_ROUNDS, DECODE_ENTROPY = 2, 3.5
 
 _DROP = {ord(c): None for c in T.INVISIBLE} | dict.fromkeys(range(T.TAG_BLOCK[0], T.TAG_BLOCK[1] + 1))
 _MAP = str.maketrans(T.LOOKALIKE_FROM, T.LOOKALIKE_TO)
@@ -37,8 +37,13 @@ _CANDIDATES = {
     "unicode_escape": r"(?:\\u[0-9a-fA-F]{4}){2,}",
     "morse": r"(?:[.\-]{1,6}[ /]+){4,}[.\-]{1,6}",
 }
-# International Morse code, a to z and 0 to 9.
-_MORSE = dict(zip(".- -... -.-. -.. . ..-. --. .... .. .--- -.- .-.. -- -. --- .--. --.- .-. ... - ..- ...- .-- -..- -.-- --.. ----- .---- ..--- ...-- ....- ..... -.... --... ---.. ----.".split(), "abcdefghijklmnopqrstuvwxyz0123456789", strict=True))
+# International Morse code.
+_MORSE = {
+    ".-": "a", "-...": "b", "-.-.": "c", "-..": "d", ".": "e", "..-.": "f", "--.": "g", "....": "h", "..": "i", ".---": "j",
+    "-.-": "k", ".-..": "l", "--": "m", "-.": "n", "---": "o", ".--.": "p", "--.-": "q", ".-.": "r", "...": "s", "-": "t",
+    "..-": "u", "...-": "v", ".--": "w", "-..-": "x", "-.--": "y", "--..": "z",
+    "-----": "0", ".----": "1", "..---": "2", "...--": "3", "....-": "4", ".....": "5", "-....": "6", "--...": "7", "---..": "8", "----.": "9",
+}
 _FIND = {k: re.compile(v) for k, v in _CANDIDATES.items()}
 _SEP, _ODD = re.compile(_SEPARATORS), re.compile(_ODD_DELIMITERS)
 _GLUED = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[0-9])(?=[A-Za-z])")
@@ -49,22 +54,50 @@ def bits_per_char(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+_WORDS = re.compile("[a-z]+")
+# common words as they look in reversed and in rotated text
+_TURNED = (frozenset(w[::-1] for w in _COMMON), frozenset(w.translate(_ROT13) for w in _COMMON))
+
+
 def score_words(s: str) -> int:
-    return sum(w in _COMMON for w in re.findall("[a-z]+", s.lower()))
+    return sum(map(_COMMON.__contains__, _WORDS.findall(s.lower())))
+
+
+def turned(s: str) -> list[tuple[str, str]]:
+    """(transform, text) of s reversed and rotated by 13 letters, where that has more common words than s."""
+    # one list of words tells all three scores, as turning a text turns its words; only of two capitals does lower() make ASCII letters
+    if "\u0130" not in s and "\u212a" not in s:
+        words = _WORDS.findall(s.lower())
+        base = sum(map(_COMMON.__contains__, words))
+        reverse, rotated = (sum(map(t.__contains__, words)) > base for t in _TURNED)
+    else:
+        base = score_words(s)
+        reverse, rotated = score_words(s[::-1]) > base, score_words(s.translate(_ROT13)) > base
+    out = [("reversed", s[::-1])] if reverse else []
+    return out + ([("rot13", s.translate(_ROT13))] if rotated else [])
 
 
 def fold(s: str) -> tuple[str, list[str]]:
     """The folded surface form and the names of what changed it."""
+    if s.isascii():  # nothing invisible, compatible or look-alike in it
+        flat = _SPACE.sub(" ", s).strip() if _UNTIDY.search(s) else s
+        return flat, ["collapse_whitespace"] if flat != s else []
     fired = []
-    visible = s.translate(_DROP)
-    latin = unicodedata.normalize("NFKC", visible).translate(_MAP)
-    flat = re.sub(r"\s+", " ", latin).strip()
+    visible = s.translate(_DROP) if _DROPPED.search(s) else s
+    latin = unicodedata.normalize("NFKC", visible)
+    latin = latin.translate(_MAP) if _MAPPED.search(latin) else latin
+    flat = _SPACE.sub(" ", latin).strip()
     for name, a, b in (("strip_invisible", s, visible), ("unicode_fold", visible, latin), ("collapse_whitespace", latin, flat)):
         if a != b:
             fired.append(name)
     return flat, fired
 
 
+_SPACE = re.compile(r"\s+")
+_DROPPED, _MAPPED = (re.compile("[" + "".join(map(chr, t)) + "]") for t in (_DROP, _MAP))
+_UNTIDY = re.compile(r"[^\S ]|  |\A | \Z")
+
+
 def _single_runs(tokens: list[str]) -> Iterator[tuple[bool, list[str]]]:
     """Runs of tokens that are all single characters, or all not."""
     from itertools import groupby
@@ -78,9 +111,11 @@ def reassembled(s: str, char_run: int = 4) -> list[str]:
     tokens = [t for t in _SEP.split(s) if t]
     if len(tokens) < 3:
         return []
-    runs = list(_single_runs(tokens))
-    looks = any(single and len(r) >= char_run for single, r in runs) or sum(len(t) <= 2 for t in tokens) >= 0.6 * len(tokens)
-    if not looks and sum(len(m) for m in _SEP.findall(s)) <= 0.3 * len(s) and len(_ODD.findall(s)) < 2:
+    lengths = list(map(len, tokens))
+    runs = list(_single_runs(tokens)) if lengths.count(1) >= char_run else []
+    looks = any(single and len(r) >= char_run for single, r in runs) or lengths.count(1) + lengths.count(2) >= 0.6 * len(tokens)
+    # what isn't in a token is a separator
+    if not looks and len(s) - sum(lengths) <= 0.3 * len(s) and len(_ODD.findall(s)) < 2:
         return []
     spaced, stripped = _SEP.sub(" ", s).strip(), _SEP.sub("", s)
     joined = ""
@@ -114,6 +149,8 @@ def decoded(s: str, min_entropy: float = DECODE_ENTROPY) -> list[tuple[str, str]
     """(transform, text) for whatever in s decodes cleanly: strictly, as UTF-8, to printable characters only."""
     out = []
     for name, decode in _DECODERS:
+        if not _MAY[name](s):
+            continue
         for chunk in _FIND[name].findall(s):
             if name in ("base64", "base32") and bits_per_char(chunk) < min_entropy:
                 continue
@@ -123,21 +160,34 @@ def decoded(s: str, min_entropy: float = DECODE_ENTROPY) -> list[tuple[str, str]
                 continue
             if got.isprintable():
                 out.append((name, got))
-    for chunk in _FIND["morse"].findall(s):
+    for chunk in _FIND["morse"].findall(s) if _MORSE_MARKS.search(s) else ():
         letters = [t for t in re.split("[ /]+", chunk) if t]
         if len(letters) >= 5 and all(t in _MORSE for t in letters):
             out.append(("morse", "".join(map(_MORSE.get, letters))))
-    if re.search("%[0-9a-fA-F]{2}", s) and (plain := unquote(s)) != s:
+    if "%" in s and re.search("%[0-9a-fA-F]{2}", s) and (plain := unquote(s)) != s:
         out.append(("url", plain))
-    base = score_words(s)
-    for name, turned in (("reversed", s[::-1]), ("rot13", s.translate(_ROT13))):
-        if turned != s and score_words(turned) > base:
-            out.append((name, turned))
-    return out
+    return out + turned(s)
+
+
+# What a text must have for a candidate to be in it: cheap to find, and seldom there.
+_RUN = re.compile(r"[A-Za-z0-9+/]{16}")
+_MAY: dict[str, Callable[[str], object]] = {
+    "base64": _RUN.search,
+    "hex": _RUN.search,
+    "base32": _RUN.search,
+    "ascii85": lambda s: "<~" in s,
+    "binary": re.compile("[01]{8}").search,
+    "unicode_escape": lambda s: "\\u" in s,
+}
+_MORSE_MARKS = re.compile(r"[.\-]{1,6}[ /]+[.\-]{1,6}[ /]")
+_GLUE = re.compile(r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[0-9][A-Za-z]")
+
 
+def views(s: str | None, rounds: int = DECODE_ROUNDS, max_bytes: int | None = None) -> tuple[list[str], list[str]]:
+    """(views, transforms): the folded text first, then repairs and decodings of all views so far, each view once, and the transforms that gave a new one in order.
 
-def views(s: str | None, rounds: int = DECODE_ROUNDS, max_bytes: int = DECODE_BYTES) -> tuple[list[str], list[str]]:
-    """(views, transforms): the folded text first, then repairs and decodings of all views so far, each view once, and the transforms that gave a new one in order."""
+    Texts of any length are decoded. With max_bytes, a folded text of more is not, and the last transform is "truncated".
+    """
     first, fired = fold(s or "")
     out = dict.fromkeys([first])
 
@@ -151,21 +201,24 @@ def views(s: str | None, rounds: int = DECODE_ROUNDS, max_bytes: int = DECODE_BY
 
     for v in reassembled(first):
         add("reassemble_fragments", v)
-    if len(first.encode("utf-8", "surrogatepass")) <= max_bytes:
-        add("split_glued", _GLUED.sub(" ", first))
+    if max_bytes is not None and len(first.encode("utf-8", "surrogatepass")) > max_bytes:
+        fired.append("truncated")
+    else:
+        if _GLUE.search(first):
+            add("split_glued", _GLUED.sub(" ", first))
         wave = list(out)
         for _ in range(rounds):
             wave = [v for w in wave for name, v in decoded(w) if add(name, v)]
     return list(out), fired
 
 
-def canonical_views(text: Column) -> Column:
-    """STRUCT<views ARRAY<STRING>, transforms ARRAY<STRING>> of a text column; a null text has one empty view."""
+def canonical_views(text: Column, max_bytes: int | None = None) -> Column:
+    """STRUCT<views ARRAY<STRING>, transforms ARRAY<STRING>> of a text column; a null text has one empty view (see views)."""
 
     @F.pandas_udf("views array<string>, transforms array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([views(t) for t in s], columns=["views", "transforms"])
+            yield pd.DataFrame([views(t, max_bytes=max_bytes) for t in s], columns=["views", "transforms"])
 
     return run(text)
 

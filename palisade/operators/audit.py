@@ -50,11 +50,24 @@ def emit(events: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> list[st
     return failed
 
 
-def json_sink(path: str, max_records: int = 1_000_000) -> Callable[[DataFrame], None]:
-    """A sink of JSON lines in files of at most max_records."""
+def json_sink(path: str, max_bytes: int = 100_000_000, keep: int | None = 11) -> Callable[[DataFrame], None]:
+    """A sink of JSON lines in files of about max_bytes, of which the newest keep stay (None: all of them).
+
+    A file's share of the lines is told by the mean length of the batch's lines, so a batch is split before it is written.
+    """
 
     def write(events: DataFrame) -> None:
-        events.write.mode("append").option("maxRecordsPerFile", max_records).json(path)
+        mean = events.select(F.avg(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+        if mean is None:
+            return
+        events.write.mode("append").option("maxRecordsPerFile", max(1, int(max_bytes / (mean + 1)))).json(path)
+        if keep is None:
+            return
+        folder = events.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(events.sparkSession._jsc.hadoopConfiguration())
+        files = sorted((s.getModificationTime(), s.getPath().getName(), s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+        for _, _, old in files[: max(0, len(files) - keep)]:
+            fs.delete(old, False)
 
     return write
 
@@ -66,16 +79,39 @@ def read_log(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def tail(events: DataFrame, n: int = 20, boundary: str | None = None, decision: str | None = None, order: str = "line_no") -> DataFrame:
-    """The last n events that pass the filters; 0 for none."""
+    """Of the last n lines, in the order of the log, those that pass the filters; 0 for none. Lines that don't parse take their place in n."""
+    last = events.orderBy(F.col(order).desc()).limit(n)
     for name, value in (("boundary", boundary), ("decision", decision)):
         if value is not None:
-            events = events.filter(F.col(name) == value)
-    return events.orderBy(F.col(order).desc()).limit(n)
+            last = last.filter(F.col(name) == value)
+    return last.orderBy(order)
+
+
+#: What is put before a reason that a rule of arguments or of irreversible tools gave.
+_REASON_TAGS = [("  [argument_violation]", r"argument rule violation"), ("  [irreversibility_blocked]", r"(?is)^(?=.*irreversible)(?=.*approv)")]
+
 
+def line_format(timestamp: Column, boundary: Column, decision: Column, agent: Column, reason: Column, tool: Column | None = None, severity: Column | None = None, n_findings: Column | None = None, signals: Column | None = None, transforms: Column | None = None, duration_ms: Column | None = None) -> Column:
+    """One printed line of an event: when, decision, boundary, agent, and what else is known of it.
 
-def line_format(timestamp: Column, boundary: Column, decision: Column, agent: Column, reason: Column) -> Column:
-    """One printed line of an event."""
-    return F.rtrim(F.concat_ws(" ", F.date_format(timestamp, "yyyy-MM-dd HH:mm:ss"), F.rpad(F.upper(decision), 8, " "), F.rpad(boundary, 16, " "), agent, F.coalesce(reason, F.lit(""))))
+    After the tool: findings and their worst severity, the reason with its tag, [session_escalation] where the signals say
+    so, [deobfuscated: ...] where views were made, and the duration.
+    """
+    none = F.lit("")
+    padded = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), n - F.length(c))))
+    given = lambda test, text: F.when(F.coalesce(test, F.lit(False)), text).otherwise(none)
+    tag = F.coalesce(*[F.when(F.regexp_like(reason, F.lit(p)), t) for t, p in _REASON_TAGS], none)
+    escaped = F.replace(reason, F.lit("\\"), F.lit("\\\\"))
+    quoted = F.when(reason.contains("'") & ~reason.contains('"'), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    more = [
+        given(n_findings > 0, F.concat(F.lit("  findings="), n_findings.cast("string"), F.lit(" max="), severity)) if severity is not None and n_findings is not None else none,
+        given(reason != "", F.concat(tag, F.when(tag == "", "  reason=").otherwise(" reason="), quoted)),
+        given(F.array_contains(signals, "session_escalation"), F.lit("  [session_escalation]")) if signals is not None else none,
+        given(F.size(transforms) > 0, F.concat(F.lit("  [deobfuscated: "), F.array_join(transforms, ","), F.lit("]"))) if transforms is not None else none,
+        given(duration_ms.isNotNull(), F.concat(F.lit(" +"), duration_ms.cast("string"), F.lit("ms"))) if duration_ms is not None else none,
+    ]
+    head = F.concat(F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("  "), padded(decision, 7), F.lit("  "), padded(boundary, 16), F.lit("  "), padded(agent, 35), F.lit("  "))
+    return F.rtrim(F.concat(head, F.coalesce(tool, none) if tool is not None else none, *more))
 
 
 def verify(lines: DataFrame, secret: str) -> DataFrame:
@@ -93,9 +129,24 @@ def join_network(gate: DataFrame, network: DataFrame) -> DataFrame:
     return gate.join(network, "token_id")
 
 
+def json_strings(values: Column) -> Column:
+    """An array of strings as JSON text: ", " between, beyond ASCII and control characters as \\u escapes."""
+
+    def escaped(value: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
+        for c, e in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+            plain = F.replace(plain, F.lit(c), F.lit("\\" + e))
+        # a UTF-16 code unit at a time, as JSON has it
+        units = F.regexp_extract_all(F.hex(F.encode(plain, "UTF-16BE")), F.lit("(....)"), 1)
+        text = lambda u: F.when((u >= "0020") & (u <= "007E"), F.chr(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+        return F.when(F.regexp_like(plain, F.lit(r"[^\x20-\x7E]")), F.array_join(F.transform(units, text), "")).otherwise(plain)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: F.concat(F.lit('"'), escaped(v), F.lit('"'))), ", "), F.lit("]"))
+
+
 def list_digest(values: Column) -> Column:
-    """SHA-256 of the sorted values, one a line: what an attestation pins a rule or source list to."""
-    return F.sha2(F.array_join(F.array_sort(values), "\n"), 256)
+    """SHA-256 of the sorted values as a JSON list: what an attestation pins a rule or source list to."""
+    return F.sha2(json_strings(F.array_sort(values)), 256)
 
 
 def latest_by(events: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
-
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from itertools import islice
+from re import _parser
 from typing import Any
 
 import pandas as pd
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 
 from palisade.functions import scores
 
-#: Spans of one group that are collected for a proximity test.
-MAX_SPANS = 20_000
 #: Severity floors of the score: low, medium, high.
 FLOORS = (0.0, 3.0, 6.0)
 EVIDENCE_POINTS = 2.0
@@ -47,6 +47,48 @@ class Catalog:
     scanner: str
     rules: list[Rule] = field(default_factory=list)
     family: str = "catalog"
+    #: Spans of one group that a proximity test looks at; None for all of them.
+    max_spans: int | None = None
+
+
+def needed_literals(pattern: str) -> frozenset[str] | None:
+    """Lower-case strings of which any lower-case text that the pattern matches has one, or None if there are none to name.
+
+    Of what a pattern needs in a row, the alternatives whose shortest string is longest tell most.
+    """
+
+    def best(sets: list[frozenset[str]]) -> frozenset[str] | None:
+        return max(sets, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    def of(items) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is _parser.LITERAL:
+                run += chr(arg)
+                continue
+            if run:
+                found.append(frozenset([run.lower()]))
+                run = ""
+            inner = None
+            if op is _parser.SUBPATTERN:
+                inner = of(arg[-1])
+            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and arg[0] > 0:
+                inner = of(arg[2])
+            elif op is _parser.BRANCH:
+                each = [of(b) for b in arg[1]]
+                inner = frozenset().union(*each) if all(each) else None
+            if inner:
+                found.append(inner)
+        return best(found)
+
+    return of(_parser.parse(pattern, re.MULTILINE))
+
+
+@cache
+def _may_match(pattern: str) -> Callable[[str], bool]:
+    """Whether a text has what the pattern needs: substring tests, which most patterns fail at a fraction of a search's cost."""
+    words = needed_literals(pattern)
+    return (lambda text: any(w in text for w in words)) if words else (lambda text: True)
 
 
 def _without_locale(name: str) -> str:
@@ -105,7 +147,7 @@ def fit_within(groups: list[list[tuple[int, int]]], width: int) -> bool:
     return False
 
 
-def _spans(rule: Rule, group: tuple[tuple[str, Any], ...], text: str, hexed: Callable[[], str]) -> list[tuple[int, int]] | None:
+def _spans(rule: Rule, group: tuple[tuple[str, Any], ...], text: str, hexed: Callable[[], str], max_spans: int | None) -> list[tuple[int, int]] | None:
     """Spans of the first alternative that matches (only one is needed without proximity), or None."""
     for kind, p in group:
         if kind == "hex":
@@ -113,20 +155,29 @@ def _spans(rule: Rule, group: tuple[tuple[str, Any], ...], text: str, hexed: Cal
             if at >= 0:
                 return [(at // 2, at // 2 + len(p) // 2)]
             continue
+        if not _may_match(p.pattern)(text):
+            continue
         found = p.finditer(text)
         first = next(found, None)
         if first is not None:
             if rule.within is None:
                 return [first.span()]
-            out = [first.span()]
-            for m in found:
-                if len(out) >= MAX_SPANS:
-                    break
-                out.append(m.span())
-            return out
+            return [first.span(), *(m.span() for m in islice(found, None if max_spans is None else max_spans - 1))]
     return None
 
 
+def _groups_hit(catalog: Catalog, rule: Rule, text: str, hexed: Callable[[], str]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(group, spans) of the rule's groups that match; none at once if one is missing of a rule that needs all."""
+    out = []
+    for name, group in rule.groups:
+        spans = _spans(rule, group, text, hexed, catalog.max_spans)
+        if spans is not None:
+            out.append((name, spans))
+        elif rule.all_of:
+            return []
+    return out
+
+
 _FUNCTIONS: dict[str, Callable[[str], float]] = {}
 
 
@@ -164,8 +215,8 @@ def scan(catalog: Catalog, text: str | None) -> list[dict[str, Any]]:
     fired: dict[str, str] = {}
     points, high = 0.0, False
     for rule in catalog.rules:
-        hit = [(name, s) for name, group in rule.groups if (s := _spans(rule, group, flat, hexed)) is not None]
-        if not hit or (rule.all_of and len(hit) < len(rule.groups)) or (rule.within is not None and not fit_within([s for _, s in hit], rule.within)):
+        hit = _groups_hit(catalog, rule, flat, hexed)
+        if not hit or (rule.within is not None and not fit_within([s for _, s in hit], rule.within)):
             continue
         evidence |= {(rule.semantic, name) for name, _ in hit}
         fired.setdefault(rule.category, rule.name)
@@ -195,14 +246,35 @@ def catalog_findings(views: Column, catalogs: list[Catalog]) -> Column:
     return run(views)
 
 
+def text_findings(text: Column, catalogs: list[Catalog], max_bytes: int | None = None) -> Column:
+    """Findings of all catalogs over all de-obfuscated views of a text, of each scanner, category and severity the first view's.
+
+    One pass does it all: the views never leave Python.
+    """
+    from palisade.functions.views import views
+
+    def found(t: str | None) -> list[dict[str, Any]]:
+        first: dict[tuple[str, str, str], dict[str, Any]] = {}
+        for i, v in enumerate(views(t, max_bytes=max_bytes)[0]):
+            for c in catalogs:
+                for f in scan(c, v):
+                    first.setdefault((f["scanner"], f["category"], f["severity"]), f | {"view_pos": i})
+        return list(first.values())
+
+    @F.pandas_udf(FINDINGS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(found)
+
+    return run(text)
+
+
 def scan_texts(docs: DataFrame, id_col: str, text: Column, catalogs: list[Catalog], normalize: bool = True) -> DataFrame:
     """(id, scanner, category, severity, rule, score, view_pos), the first view for each scanner, category and severity."""
-    from palisade.functions.views import canonical_views
     from palisade.operators.scan import merge_views
 
-    v = canonical_views(text)["views"] if normalize else F.array(text)
-    f = docs.select(id_col, v.alias("views")).select(id_col, F.explode(catalog_findings(F.col("views"), catalogs)).alias("f")).select(id_col, "f.*")
-    return merge_views(f, id_col)
+    found = text_findings(text, catalogs) if normalize else catalog_findings(F.array(text), catalogs)
+    return merge_views(docs.select(id_col, F.explode(found).alias("f")).select(id_col, "f.*"), id_col)
 
 
 def rule_rows(spark, catalogs: list[Catalog]) -> DataFrame:

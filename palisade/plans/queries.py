@@ -38,7 +38,7 @@ def pii_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pii_page_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return scan.pii_findings(table(spark, sf, "pages"), "page_id", F.col("html"), ["pii.email", "network.ipv4", "secret.private_key", "secret.slack_webhook"]).select("page_id", "category", "n")
+    return scan.pii_findings(table(spark, sf, "pages"), "page_id", F.col("html")).select("page_id", "category", "n")
 
 
 @query
@@ -49,8 +49,8 @@ def pii_luhn_cards(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pii_redacted(spark: SparkSession, sf: str) -> DataFrame:
-    cats = ["pii.email", "network.ipv4", "secret.private_key", "secret.slack_webhook"]
-    d = _docs(spark, sf).withColumn("r", detect.redact(F.col("text"), cats))
+    """Every document in which one of the twelve categories was replaced."""
+    d = _docs(spark, sf).withColumn("r", detect.redact(F.col("text")))
     return d.filter("r != text").select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), F.length("r").alias("n_chars"))
 
 
@@ -79,10 +79,10 @@ def ensemble_promotion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def view_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings over the surface and the reversed text, the first view kept for each category."""
-    d = _docs(spark, sf).select("doc_id", F.posexplode(F.array("text", F.reverse("text"))).alias("view_pos", "v"))
-    cats = ["pii.email", "network.ipv4"]
-    f = d.select("doc_id", "view_pos", F.explode(detect.findings(F.col("v"), cats)).alias("f")).select("doc_id", "view_pos", F.lit("regex_pii").alias("scanner"), "f.category", "f.severity")
+    """Findings of all categories over the folded, the reversed and the rotated text, the first view kept for each category."""
+    folded = T.fold_native(F.col("text"))
+    d = _docs(spark, sf).select("doc_id", F.posexplode(F.array(folded, F.reverse(folded), T.rot13(folded))).alias("view_pos", "v"))
+    f = d.select("doc_id", "view_pos", F.explode(detect.findings(F.col("v"))).alias("f")).select("doc_id", "view_pos", F.lit("regex_pii").alias("scanner"), "f.category", "f.severity")
     return scan.merge_views(f, "doc_id").select("doc_id", "category", "severity", "view_pos")
 
 
@@ -153,7 +153,7 @@ def scoring_functions(spark: SparkSession, sf: str) -> DataFrame:
     from palisade.functions import scores
 
     t = F.col("text")
-    return _docs(spark, sf).select("doc_id", scores.structure_score(t).alias("structure"), scores.encoding_score(t).alias("encoding"), scores.obfuscation_score(t).alias("obfuscation"), scores.intent_score(t).alias("intent"), scores.soft_triggers(t).alias("soft"))
+    return _docs(spark, sf).select("doc_id", scores.structure_score(t).alias("structure"), scores.encoding_score(t).alias("encoding"), scores.obfuscation_score(t).alias("obfuscation"), scores.intent_score(t).alias("intent"), scores.soft_triggers(t).alias("soft"), scores.persona_score(t).alias("persona"), scores.invisible_text(t).alias("invisible"))
 
 
 @query
@@ -173,14 +173,14 @@ def provenance_ingested(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def minhash_signature(spark: SparkSession, sf: str) -> DataFrame:
     m = T.minhash(T.char_bigrams(F.col("text")))
-    return table(spark, sf, "benchmark").select("item_id", F.sha2(F.array_join(F.transform(m, lambda x: x.cast("string")), ","), 256).alias("minima_sha256"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(F.array_join(F.transform(m, lambda x: x.cast("string")), ","), 256).alias("minima_sha256"))
 
 
 @query
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of benchmark items with character-pair signatures that agree in 0.7 of places, found through bands."""
-    b = table(spark, sf, "benchmark").select("item_id", T.minhash(T.char_bigrams(F.col("text"))).alias("minhash"))
-    p = candidates.band_pairs(b.withColumnRenamed("item_id", "a"), b.withColumnRenamed("item_id", "b"), "a", "b")
+    """Pairs of conversation turns with character-pair signatures that agree in 0.7 of places, found through bands."""
+    t = table(spark, sf, "conversations").select(F.concat_ws("-", F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("id"), T.minhash(T.char_bigrams(F.col("text"))).alias("minhash"))
+    p = candidates.band_pairs(t.withColumnRenamed("id", "a"), t.withColumnRenamed("id", "b"), "a", "b")
     return p.filter((F.col("a") < F.col("b")) & (F.col("likeness") >= candidates.MATCH_AT)).select("a", "b", F.round("likeness", 6).alias("likeness"))
 
 
@@ -247,8 +247,9 @@ def gate_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def url_allowlist(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").select("page_id", gate.url_allowed(F.col("url"), F.array(*map(F.lit, dims.URL_PATTERNS))).alias("allowed"))
-    return p.groupBy("allowed").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+    """Pages by scheme and whether the list allows their address."""
+    p = table(spark, sf, "pages").select("page_id", F.substring_index("url", "://", 1).alias("scheme"), gate.url_allowed(F.col("url"), F.array(*map(F.lit, dims.URL_PATTERNS))).alias("allowed"))
+    return p.groupBy("scheme", "allowed").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
 @query
@@ -259,8 +260,9 @@ def method_allowlist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quorum_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Approvers of a day's calls of a user: whether they make a quorum for sensitive and for irreversible tools."""
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.dayofmonth("ts") % 3).alias("approvers"))
+    """Approvers of a user's calls of an hour (of every other kind of event, one for each): whether they make a quorum for sensitive and for irreversible tools."""
+    approver = F.when(F.col("event_type").isin("click", "purchase"), F.col("event_type"))
+    e = table(spark, sf, "events").groupBy("user_id", F.hour("ts").alias("hour")).agg(F.collect_set(approver).alias("approvers"))
     reason = lambda kind: gate.quorum_reason(F.lit(kind), F.col("approvers"), True).isNull()
     return e.groupBy(reason("sensitive").alias("sensitive_ok"), reason("irreversible").alias("irreversible_ok")).agg(F.count("*").alias("n"))
 
@@ -379,8 +381,9 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def audit_tail(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = audit.read_log(_log(spark, sf), "boundary string, decision string, agent_id string").filter("NOT bad")
-    return audit.tail(parsed.drop("bad"), 20, "purchase", "deny")
+    """Of the log's last 200 lines the denied purchases."""
+    parsed = audit.read_log(_log(spark, sf), "boundary string, decision string, agent_id string")
+    return audit.tail(parsed, 200, "purchase", "deny").drop("bad")
 
 
 @query
@@ -406,8 +409,15 @@ def audit_reason_truncation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def audit_line_format(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    return e.select("event_id", audit.line_format(F.col("ts"), F.col("event_type"), F.when(F.col("value") >= 50, "deny").otherwise("allow"), F.col("user_id").cast("string"), F.when(F.col("value") >= 50, "too much")).alias("line"))
+    """Events as printed lines: with findings, reasons of three kinds, signals, views and durations."""
+    e, n = table(spark, sf, "events"), F.col("event_id")
+    reason = F.when(n % 5 == 0, "argument rule violation: value").when(n % 5 == 1, "irreversible call without approval").when(n % 5 == 2, "the agent's limit")
+    line = audit.line_format(
+        F.col("ts"), F.col("event_type"), F.when(F.col("value") >= 50, "deny").otherwise("allow"), F.col("user_id").cast("string"), reason,
+        tool=F.when(n % 2 == 0, F.col("event_type")), severity=F.lit("high"), n_findings=n % 3,
+        signals=F.when(n % 7 == 0, F.array(F.lit("session_escalation"))), transforms=F.when(n % 11 == 0, F.array(F.lit("base64"), F.lit("hex"))), duration_ms=F.when(n % 4 == 0, n % 100),
+    )
+    return e.select("event_id", line.alias("line"))
 
 
 @query
@@ -419,8 +429,11 @@ def audit_consolidated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attestation_digest(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tools"))
-    return e.select("user_id", audit.list_digest(F.col("tools")).alias("digest"))
+    """Digests of the kinds of events that each user has, and of names with quotes, line ends and letters beyond ASCII."""
+    e = table(spark, sf, "events")
+    odd = F.concat(F.col("event_type"), F.when(F.col("event_id") % 3 == 0, F.lit('"a\\\n')).when(F.col("event_id") % 3 == 1, F.lit("é€")).otherwise(""))
+    g = e.groupBy("user_id").agg(F.collect_set("event_type").alias("tools"), F.collect_set(odd).alias("odd"))
+    return g.select("user_id", audit.list_digest(F.col("tools")).alias("digest"), audit.list_digest(F.col("odd")).alias("odd_digest"))
 
 
 @query
@@ -469,9 +482,10 @@ def manifest_overrides(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def candidate_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    zero = F.lit(0.0)
-    d = table(spark, sf, "benchmark").select("item_id", candidates.fingerprint(F.col("text"), detect.entropy_score(F.col("text")), detect.density_score(F.col("text")), zero, detect.structural_score(F.col("text"))).alias("f"))
-    return d.select("item_id", "f.entropy", "f.density", "f.length", F.array_min("f.minhash").alias("least"))
+    """Fingerprints of all conversation turns."""
+    zero, t = F.lit(0.0), F.col("text")
+    d = table(spark, sf, "conversations").select("conv_id", "turn", candidates.fingerprint(t, detect.entropy_score(t), detect.density_score(t), zero, detect.structural_score(t)).alias("f"))
+    return d.select("conv_id", "turn", "f.entropy", "f.density", "f.structural", "f.length", F.array_join("f.control_words", ",").alias("control_words"), F.array_min("f.minhash").alias("least"))
 
 
 @query

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from typing import Any
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)(?::-([^}]*))?\}")
@@ -99,15 +99,29 @@ def manifests(spark: SparkSession, text: str = MANIFESTS) -> tuple[DataFrame, Da
     return spark.createDataFrame(sources, "source string, transport string, url string, tags array<string>"), spark.createDataFrame(tools, "source string, tool_name string, tags array<string>, action string")
 
 
-def revocations(raw: DataFrame) -> DataFrame:
-    """(agent_id, reason) of revocation files read as whole texts (value): {"revoked": {agent: reason}}; unreadable ones give none."""
-    m = F.from_json("value", "revoked map<string,string>")["revoked"]
-    return raw.select(F.explode(F.coalesce(m, F.create_map().cast("map<string,string>"))).alias("agent_id", "reason"))
+def revocations(raw: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """(agent_id, reason) of revocation files read as whole texts (value): {"revoked": {agent: reason}}.
+
+    If a file is unreadable, the last known rows (agent_id, reason) stay in force, as a kill switch that can't be read must
+    not lift itself; without last, such a file gives none. No file at all is an empty set.
+    """
+    parsed = raw.select(F.from_json("value", "revoked map<string,string>")["revoked"].alias("m"))
+    now = parsed.select(F.explode(F.coalesce("m", F.create_map().cast("map<string,string>"))).alias("agent_id", "reason"))
+    if last is None or parsed.filter("m IS NULL").isEmpty():
+        return now
+    return last.select("agent_id", "reason").join(now.select("agent_id"), "agent_id", "left_anti").unionByName(now)
 
 
 def audit_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw) of a log: the place of a line follows file and offset order within a read."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    """(file, line_no, raw) of a log: lines are numbered from 1 in each file, by their place in it, however the file is split.
+
+    A file's blocks are read in parallel; each line's number is its place in its block plus the lines of the blocks before.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line_no"), "raw")
 
 
 def follow_audit(spark: SparkSession, path: str) -> DataFrame:

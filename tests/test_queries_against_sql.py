@@ -31,7 +31,7 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, duck, name):
-    got, want = QUERIES[name](spark, SF), duck.sql(ORACLES[name])
+    got, want = (QUERIES | PYTHON)[name](spark, SF), duck.sql(ORACLES[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
@@ -39,6 +39,6 @@ def test_same_rows(spark, duck, name):
     assert mine == sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)) + sorted(PYTHON))
+@pytest.mark.parametrize("name", sorted((set(QUERIES) | set(PYTHON)) - set(ORACLES)))
 def test_runs(spark, name):
     assert (QUERIES | PYTHON)[name](spark, SF).collect()

