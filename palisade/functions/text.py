@@ -30,10 +30,9 @@ COMMON_WORDS = (
     "instructions system prompt now please tell show me my all any"
 ).split()
 
-# A provenance token, the characters stripped from its end, and the length of its digest.
+# A provenance token and the characters stripped from its end.
 TOKEN = "[a-z0-9][a-z0-9._@+/-]{2,}"
 TOKEN_TAIL = "._-/+@"
-MAX_DIGESTS = 16_384
 
 _A, _Z = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM"
 
@@ -106,9 +105,10 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(cut, lambda t: F.length(t) >= 3))
 
 
-def token_digests(text: Column) -> Column:
-    """The first 16 hex digits of SHA-256 of each provenance token, in the order of first occurrence, MAX_DIGESTS at most."""
-    return F.slice(F.transform(tokens(text), lambda t: F.substring(F.sha2(t, 256), 1, 16)), 1, MAX_DIGESTS)
+def token_digests(text: Column, most: int | None = None) -> Column:
+    """The first 16 hex digits of SHA-256 of each provenance token, in the order of first occurrence; with most, no more than that."""
+    digests = F.transform(tokens(text), lambda t: F.substring(F.sha2(t, 256), 1, 16))
+    return digests if most is None else F.slice(digests, 1, most)
 
 
 def is_ingested(value: Column, result_digests: Column, input_digests: Column) -> Column:

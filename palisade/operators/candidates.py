@@ -15,7 +15,8 @@ from palisade.functions import detect
 from palisade.functions import text as T
 
 MATCH_AT = 0.7
-BANDS, BAND_ROWS = 16, 4
+#: Two signatures of 64 places that agree in 45 or more, which is MATCH_AT, differ in 19 at most: of 20 bands one agrees whole.
+PLACES, BANDS = 64, 20
 # The control words of fingerprints, fewer than those of density.
 FINGERPRINT_WORDS = "ignore override forget disregard bypass skip instead always never must execute run call output print reveal repeat respond pretend".split()
 #: Open candidates beyond which the oldest with few hits goes.
@@ -67,21 +68,23 @@ def should_record(findings: DataFrame, id_col: str) -> DataFrame:
 
 
 def band_pairs(a: DataFrame, b: DataFrame, id_a: str, id_b: str) -> DataFrame:
-    """Pairs of ids whose minimum hashes agree in some band of BAND_ROWS, with their likeness (at MATCH_AT a pair shares a band but for a chance of one in 80)."""
-    bands = lambda d, i: d.select(F.col(i), "minhash", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.slice("minhash", k * BAND_ROWS + 1, BAND_ROWS)))).alias("band", "h"))
+    """Pairs of ids whose minimum hashes agree in a whole band, with their likeness; no pair of MATCH_AT or more is missing.
+
+    Signatures without minima, of texts without pairs, are like nothing and have no band.
+    """
+    cut = lambda k: (k * PLACES // BANDS + 1, (k + 1) * PLACES // BANDS - k * PLACES // BANDS)
+    hashes = F.array(*[F.xxhash64(F.slice("minhash", *cut(k))) for k in range(BANDS)])
+    bands = lambda d, i: d.filter(F.size("minhash") > 0).select(F.col(i), "minhash", F.posexplode(hashes).alias("band", "h"))
     x, y = bands(a, id_a), bands(b, id_b).withColumnRenamed("minhash", "other")
     p = x.join(y, ["band", "h"]).select(id_a, id_b, "minhash", "other").dropDuplicates([id_a, id_b])
     return p.select(id_a, id_b, T.minhash_likeness(F.col("minhash"), F.col("other")).alias("likeness"))
 
 
-def match_promoted(texts: DataFrame, candidates: DataFrame, id_col: str, limit: int = 10_000) -> DataFrame:
-    """For each text (minhash) the first promoted candidate, by id, that is like it at MATCH_AT. Up to limit candidates are compared one by one, more through bands."""
-    promoted = candidates.filter("status = 'promoted'").select(F.col("id").alias("candidate"), F.col("minhash").alias("other"), "severity")
-    if promoted.limit(limit + 1).count() <= limit:
-        pairs = texts.join(F.broadcast(promoted), T.minhash_likeness(F.col("minhash"), F.col("other")) >= MATCH_AT)
-    else:
-        near = band_pairs(texts.select(id_col, "minhash"), promoted.select("candidate", F.col("other").alias("minhash")), id_col, "candidate").filter(F.col("likeness") >= MATCH_AT)
-        pairs = near.join(promoted, "candidate")
+def match_promoted(texts: DataFrame, candidates: DataFrame, id_col: str) -> DataFrame:
+    """For each text (minhash) the first promoted candidate, by id, that is like it at MATCH_AT: found through bands, which miss none, and compared exactly."""
+    promoted = candidates.filter("status = 'promoted'").select(F.col("id").alias("candidate"), "minhash", "severity")
+    near = band_pairs(texts.select(id_col, "minhash"), promoted, id_col, "candidate").filter(F.col("likeness") >= MATCH_AT)
+    pairs = near.join(promoted.select("candidate", "severity"), "candidate")
     return pairs.groupBy(id_col).agg(F.min_by(F.struct("candidate", "severity"), "candidate").alias("m")).select(id_col, "m.*")
 
 

@@ -21,6 +21,7 @@ from palisade.functions import scores
 #: Severity floors of the score: low, medium, high.
 FLOORS = (0.0, 3.0, 6.0)
 EVIDENCE_POINTS = 2.0
+SEVERITIES = ("low", "medium", "high", "critical")
 # Weight of a scoring function; 1 where none is given.
 WEIGHTS = {"intent_score": 1.5, "structure_score": 1.0, "encoding_score": 1.0, "persona_score": 1.2, "cumulative_soft_triggers": 1.0, "obfuscation_score": 1.2, "invisible_text": 1.0}
 LOCALES = ("fr", "es", "de", "zh")
@@ -96,23 +97,39 @@ def _without_locale(name: str) -> str:
     return head if last in LOCALES and head else name
 
 
+def match_group(group: Any) -> tuple[str, list[str]]:
+    """(name, ids) of a group: an id, a list of ids, or {name, any: [ids]}."""
+    if isinstance(group, str):
+        return group, [group]
+    if isinstance(group, dict):
+        return group.get("name") or "|".join(group["any"]), list(group["any"])
+    return "|".join(group), list(group)
+
+
+def raw_rules(text: str) -> list[dict[str, Any]]:
+    """The rules of a YAML text: a list, or a mapping with the list under patterns or rules."""
+    got = yaml.safe_load(text) or []
+    return got if isinstance(got, list) else got.get("patterns") or got.get("rules") or []
+
+
 def compile_rule(raw: dict[str, Any]) -> Rule:
     """A rule of the form {name, meta: {severity, category, semantic_id?}, strings: {id: regex or {hex: ...}}, match, functions?}.
 
-    match: "any", or {all: [[ids that may stand for each other], ...], within_chars?}.
+    match: "any", or {all: [[ids that may stand for each other], ...], within_chars?}. A group may also be written
+    {name, any: [ids]}, and a match without proximity {any: [ids]}.
     """
     try:
         meta, strings, match = raw["meta"], raw["strings"], raw.get("match", "any")
-        if meta["severity"] not in ("low", "medium", "high"):
+        if meta["severity"] not in SEVERITIES:
             raise CatalogError(f"{raw['name']}: severity {meta['severity']}")
         made = {k: ("hex", v["hex"].lower().replace(" ", "")) if isinstance(v, dict) else ("regex", re.compile(v, re.MULTILINE)) for k, v in strings.items()}
-        if match == "any":
-            groups, all_of, within = [(k, (v,)) for k, v in made.items()], False, None
+        unknown = set(match) - {"all", "any", "within_chars"} if isinstance(match, dict) else ()
+        if unknown:
+            raise CatalogError(f"{raw['name']}: unknown match key {sorted(unknown)[0]}")
+        if match == "any" or "all" not in match:
+            groups, all_of, within = [(k, (made[k],)) for k in (made if match == "any" else match["any"])], False, None
         else:
-            unknown = set(match) - {"all", "within_chars"}
-            if unknown:
-                raise CatalogError(f"{raw['name']}: unknown match key {sorted(unknown)[0]}")
-            groups = [("|".join(g) if not isinstance(g, str) else g, tuple(made[i] for i in ([g] if isinstance(g, str) else g))) for g in match["all"]]
+            groups = [(name, tuple(made[i] for i in ids)) for name, ids in map(match_group, match["all"])]
             all_of, within = True, match.get("within_chars")
         return Rule(raw["name"], meta["severity"], meta["category"], meta.get("semantic_id") or _without_locale(raw["name"]), tuple(groups), all_of, within, tuple(raw.get("functions") or ()))
     except (KeyError, TypeError, re.error) as e:
@@ -120,8 +137,8 @@ def compile_rule(raw: dict[str, Any]) -> Rule:
 
 
 def load_catalog(scanner: str, texts: list[str], extra: list[dict[str, Any]] = ()) -> Catalog:
-    """A catalog of YAML texts (a list of rules each; the primary first, then translations) and extra rules, of which a bad one costs only itself."""
-    rules = [compile_rule(r) for t in texts for r in yaml.safe_load(t) or []]
+    """A catalog of YAML texts (rules each, see raw_rules; the primary first, then translations; a user's own files as well) and extra rules, of which a bad one costs only itself."""
+    rules = [compile_rule(r) for t in texts for r in raw_rules(t)]
     for r in extra:
         try:
             rules.append(compile_rule(r))
@@ -213,14 +230,14 @@ def scan(catalog: Catalog, text: str | None) -> list[dict[str, Any]]:
     evidence: set[tuple[str, str]] = set()
     called: set[tuple[str, str]] = set()
     fired: dict[str, str] = {}
-    points, high = 0.0, False
+    points, worst = 0.0, 0
     for rule in catalog.rules:
         hit = _groups_hit(catalog, rule, flat, hexed)
         if not hit or (rule.within is not None and not fit_within([s for _, s in hit], rule.within)):
             continue
         evidence |= {(rule.semantic, name) for name, _ in hit}
         fired.setdefault(rule.category, rule.name)
-        high |= rule.severity == "high"
+        worst = max(worst, SEVERITIES.index(rule.severity))
         for f in rule.functions:
             if (rule.semantic, f) not in called and f in _python_functions():
                 called.add((rule.semantic, f))
@@ -228,7 +245,7 @@ def scan(catalog: Catalog, text: str | None) -> list[dict[str, Any]]:
     if not fired:
         return []
     total = EVIDENCE_POINTS * len(evidence) + points + len(fired)
-    severity = "high" if high or total >= FLOORS[2] else "medium" if total >= FLOORS[1] else "low"
+    severity = "critical" if worst == 3 else "high" if worst == 2 or total >= FLOORS[2] else "medium" if total >= FLOORS[1] else "low"
     return [{"scanner": catalog.scanner, "category": c, "severity": severity, "rule": r, "score": total} for c, r in fired.items()]
 
 
@@ -299,7 +316,7 @@ def lint(raw: list[dict[str, Any]]) -> list[tuple[str, str]]:
         for k in ("severity", "category"):
             if not meta.get(k):
                 say(f"meta has no {k}")
-        if meta.get("severity") not in (None, "low", "medium", "high"):
+        if meta.get("severity") not in (None, *SEVERITIES):
             say("unknown severity")
         for k, v in strings.items():
             if isinstance(v, str):
@@ -312,9 +329,9 @@ def lint(raw: list[dict[str, Any]]) -> list[tuple[str, str]]:
         if not strings:
             say("no strings")
         if isinstance(match, dict):
-            for k in set(match) - {"all", "within_chars"}:
+            for k in set(match) - {"all", "any", "within_chars"}:
                 say(f"unknown match key {k}")
-            used = {i for g in match.get("all") or () for i in ([g] if isinstance(g, str) else g)}
+            used = {i for g in [*(match.get("all") or ()), *(match.get("any") or ())] for i in match_group(g)[1]}
             out.extend((name, f"{k} is not used") for k in strings if k not in used)
             out.extend((name, f"{k} does not exist") for k in sorted(used - set(strings)))
         elif match != "any":

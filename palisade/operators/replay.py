@@ -42,15 +42,16 @@ class RateLimit:
         return None
 
 
-def call_fingerprint(tool: str, args: dict[str, Any] | None) -> frozenset[str]:
-    return frozenset([f"tool={tool}", *(f"{k}:{json.dumps(v, default=str)[:128]}" for k, v in (args or {}).items())])
+def call_fingerprint(tool: str, args: dict[str, Any] | None, arg_chars: int | None = None) -> frozenset[str]:
+    """The tool and each argument with its value, whole or, with arg_chars, its first characters."""
+    return frozenset([f"tool={tool}", *(f"{k}:{json.dumps(v, default=str)[:arg_chars]}" for k, v in (args or {}).items())])
 
 
 class Budget:
     """Steps of a session, calls of a prompt (counted anew when the prompt changes) and near-identical calls among the last allowed ones. Only allowed calls count."""
 
-    def __init__(self, max_steps: int | None = None, max_per_prompt: int | None = None, loop_window: int = 0, loop_at: float = 0.95):
-        self.max_steps, self.max_per_prompt, self.loop_at = max_steps, max_per_prompt, loop_at
+    def __init__(self, max_steps: int | None = None, max_per_prompt: int | None = None, loop_window: int = 0, loop_at: float = 0.95, arg_chars: int | None = None):
+        self.max_steps, self.max_per_prompt, self.loop_at, self.arg_chars = max_steps, max_per_prompt, loop_at, arg_chars
         self.steps = self.calls = 0
         self.prompt: str | None = None
         self.recent: deque[frozenset[str]] = deque(maxlen=loop_window)
@@ -64,7 +65,7 @@ class Budget:
         if prompt is not None and self.max_per_prompt is not None and self.calls >= self.max_per_prompt:
             return "session budget: calls of the prompt"
         if self.recent.maxlen:
-            mine = call_fingerprint(row["tool_name"], row.get("args"))
+            mine = call_fingerprint(row["tool_name"], row.get("args"), self.arg_chars)
             if any(len(mine & p) >= self.loop_at * len(mine | p) for p in self.recent):
                 return "loop"
             self.recent.append(mine)

@@ -83,3 +83,10 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     ends = spark.createDataFrame([(0, "digraph topology {"), (3, "}")], "k int, line string")
     return n.unionByName(e).unionByName(ends).orderBy("k", "line")
+
+
+def to_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph as one JSON text, {"nodes": [{id, type, label}], "edges": [{from, to, type}]}, both sorted; for topologies, which are small."""
+    rows = lambda d: d.agg(F.array_sort(F.collect_list(F.struct(*d.columns))).alias("x"))
+    both = rows(nodes).select(F.col("x").alias("nodes")).crossJoin(rows(edges).select(F.col("x").alias("edges")))  # of one row each
+    return both.select(F.to_json(F.struct("nodes", "edges")).alias("graph"))

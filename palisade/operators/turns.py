@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +22,15 @@ def turn_signals(evidence: DataFrame) -> DataFrame:
     """One row for each (conversation_id, turn_id) of boundary evidence rows.
 
     evidence: seq, boundary (input, gate, tool_result), status, severity, categories, families, tool_name, gate_allowed.
-    The last input and the last gate count; tool results accumulate: all categories, and the worst status.
+    The last input and the last gate count; tool results accumulate: all categories, and the worst status. If evidence has
+    digests (of provenance tokens), those of all inputs and of all tool results are united.
     """
     on = lambda b: F.col("boundary") == b
     last = lambda c, b: F.max_by(F.when(on(b), F.col(c)), F.when(on(b), F.col("seq")))
     union = lambda c, b: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(on(b), F.col(c))))))
+    digests = [union("digests", b).alias(c) for c, b in (("input_digests", "input"), ("result_digests", "tool_result"))] if "digests" in evidence.columns else []
     return evidence.groupBy("conversation_id", "turn_id").agg(
+        *digests,
         last("status", "input").alias("input_status"),
         F.array_sort(F.coalesce(last("categories", "input"), F.array().cast("array<string>"))).alias("input_categories"),
         F.max(F.when(on("input"), severity_rank(F.col("severity")))).alias("input_severity_rank"),
@@ -92,6 +99,40 @@ def session_scores(turns: DataFrame, window: int = WINDOW_TURNS, session: str =
     return t.withColumn("stored_score", F.when(F.col("latched"), first["score"]).otherwise(F.col("score")))
 
 
+class SessionScore:
+    """The session score as a fold over a session's turns, for streams: rows need status, density, turn_risk and bigrams.
+
+    Each step gives JSON {score, reframe, latched}. The turn that reaches ESCALATE_AT latches the session: from the next on
+    nothing more is recorded and the score stays.
+    """
+
+    def __init__(self, window: int = WINDOW_TURNS):
+        self.turns: deque[tuple[str, float, float]] = deque(maxlen=window)
+        self.before: frozenset[str] = frozenset()
+        self.stored: float | None = None
+
+    def step(self, row: dict[str, Any]) -> str:
+        if self.stored is not None:
+            return json.dumps({"score": self.stored, "reframe": False, "latched": True})
+        words, status = frozenset(row["bigrams"]), row["status"]
+        union = len(words | self.before)
+        reframe = status in ("warn", "block") and union > 0 and len(words & self.before) / union >= REFRAME_AT
+        self.before = words
+        self.turns.append((status, float(row["density"]), float(row["turn_risk"])))
+        n = len(self.turns)
+        high = [r >= RISK_HIGH for _, _, r in self.turns]
+        score = 0.60 * sum(s == "block" or h for (s, _, _), h in zip(self.turns, high, strict=True)) / n
+        score += 0.25 * sum(s in ("warn", "block") for s, _, _ in self.turns) / n + 0.30 * reframe
+        score += 0.25 * (sum(d for _, d, _ in self.turns) / n >= DENSITY_AT) + 0.35 * any(high)
+        score = min(1.0, score)
+        if score >= ESCALATE_AT:
+            self.stored = score
+        return json.dumps({"score": score, "reframe": reframe, "latched": False})
+
+
+RISK = "struct<score:double,reframe:boolean,latched:boolean>"
+
+
 def split_idle(turns: DataFrame, ttl_seconds: float = 72 * 3600, session: str = "session_id", ts: str = "ts") -> DataFrame:
     """Adds part: a session that was idle for longer than its time to live begins anew."""
     w = Window.partitionBy(session).orderBy(ts)

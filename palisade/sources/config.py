@@ -71,6 +71,19 @@ def validate(config: dict[str, Any]) -> dict[str, Any]:
     return config
 
 
+def summary(config: dict[str, Any]) -> dict[str, Any]:
+    """What a valid configuration sets up: its tenant, how many policy rules and audit sinks, and of each boundary whether it is on, its scanners and limit."""
+    policy, audit = config.get("policy") or {}, config.get("audit") or {}
+    sections = {b: config.get(b) or {} for b in BOUNDARIES}
+    return {
+        "tenant": config.get("tenant"),
+        "policy_rules": len(policy.get("rules") or []),
+        "forbidden_tags": [sorted(set(c)) for c in policy.get("forbidden_tags") or []],
+        "audit_sinks": [s["name"] if isinstance(s, dict) else s for s in audit.get("sinks") or []],
+        "boundaries": {b: {"enabled": bool(s.get("enabled", False)), "block_at": s.get("block_at"), "scanners": [x["name"] if isinstance(x, dict) else x for x in s.get("scanners") or []]} for b, s in sections.items()},
+    }
+
+
 def load(text: str, env: Mapping[str, str] | None = None, secret: Callable[[str], str] | None = env_secret) -> dict[str, Any]:
     raw = yaml.safe_load(text) or {}
     if not isinstance(raw, dict):

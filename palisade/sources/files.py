@@ -18,17 +18,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Extensions, lures before them, triggers in names, marks in PDF files, container types and their limits.
 SUSPICIOUS = ".exe .bat .sh .scr .php .js .bin .dll .vbs .docm .xlsm .pptm .svg .svgz .jar .hta .wsf .ps1 .lnk .iso .jse .vbe .cmd .com .msi .reg".split()
 LURES = ".pdf .doc .docx .xls .xlsx .ppt .pptx .txt .csv .jpg .jpeg .png .gif .zip".split()
 NAME_TRIGGERS = r"(?i)ignore.*instruction|simulate.*response|act\s+as|pretend\s+to\s+be|<\|system\|>|\[system\]|unfiltered|/JavaScript"
 PDF_MARKERS = [("/JavaScript", "file.pdf_javascript", "high"), ("/JS", "file.pdf_javascript", "high"), ("/OpenAction", "file.pdf_open_action", "high"), ("/AA", "file.pdf_open_action", "medium"), ("/Launch", "file.pdf_launch", "high"), ("/EmbeddedFile", "file.pdf_embedded", "medium"), ("/RichMedia", "file.pdf_richmedia", "medium")]
 ZIP_TYPES, STREAM_TYPES, NO_READER = (".zip", ".docx", ".xlsx", ".pptx", ".jar"), (".gz", ".bz2", ".xz", ".svgz"), (".7z", ".rar")
-MAX_ENTRIES, MAX_RATIO, MAX_UNPACKED, ENTRY_BYTES, CHUNK, MAX_DEPTH = 1000, 100, 50 << 20, 1 << 20, 1 << 20, 2
+MAX_ENTRIES, MAX_RATIO, MAX_UNPACKED, CHUNK, MAX_DEPTH = 1000, 100, 50 << 20, 1 << 20, 2
 MAX_MB = 50.0
-_SVG_BYTES = re.compile(rb"(?i)<script\b|\bon\w+\s*=|javascript:|<foreignObject\b")
+SVG_MARKS = [rb"<script\b", rb"\bon\w+\s*=", rb"javascript:", rb"<foreignObject\b"]
+OOXML, MACRO_TYPES = (".docx", ".xlsx", ".pptx"), (".docm", ".xlsm", ".pptm", ".docx", ".xlsx", ".pptx", ".doc", ".xls", ".ppt", ".bin")
+# The first bytes of programs.
+PROGRAM_MAGIC = [b"MZ", b"\x7fELF"]
+BASE64_BLOB = r"[A-Za-z0-9+/]{200,}={0,2}"
+
+_SVG_BYTES = re.compile(b"(?i)" + b"|".join(SVG_MARKS))
 _ENTITY = re.compile(rb"(?i)<!ENTITY\b")
 _JS_URI, _AWAY = re.compile(r"(?i)[\s\x00-\x20]*javascript:"), re.compile(r"(?i)\s*(?:[a-z][a-z0-9+.\-]*:)?//")
+_TRIGGER, _BASE64 = re.compile(NAME_TRIGGERS), re.compile(BASE64_BLOB)
 
 FINDING = "array<struct<category:string,severity:string>>"
 
@@ -42,7 +49,7 @@ def _name() -> Column:
 
 
 def name_findings(files: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
-    """(path, category, severity) from names and sizes alone, in native columns: extension, double extension, name, size."""
+    """(path, category, severity) from names, sizes and first bytes, in native columns: extension, double extension, name, program, size."""
     name = _name()
     parts = F.split(name, r"\.")
     ext = F.when(F.size(parts) > 1, F.concat(F.lit("."), F.element_at(parts, -1)))
@@ -51,6 +58,7 @@ def name_findings(files: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
         (ext.isin(SUSPICIOUS), "file.suspicious_extension", "high"),
         (inner.isin(LURES) & ext.isin(SUSPICIOUS), "file.double_extension", "high"),
         (F.regexp_like(name, F.lit(NAME_TRIGGERS)), "file.suspicious_filename", "medium"),
+        (F.coalesce(*[F.when(F.startswith(F.col("content"), F.lit(bytearray(m))), True) for m in PROGRAM_MAGIC], F.lit(False)) if "content" in files.columns else F.lit(False), "file.suspicious_mime", "high"),
         (F.col("length") > int(max_mb * (1 << 20)), "file.size_exceeded", "medium"),
     ]
     each = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"))) for t, c, s in tests]))
@@ -77,7 +85,7 @@ def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 def unpack_stream(data: bytes, ext: str, limit: int) -> tuple[bytes, bool]:
     """(the first limit bytes and one chunk at most of a compressed stream, whether it ended within)."""
-    opener = {".gz": gzip, ".svgz": gzip, ".bz2": bz2, ".xz": lzma}[ext]
+    opener = {".gz": gzip, ".tgz": gzip, ".svgz": gzip, ".bz2": bz2, ".xz": lzma}[ext]
     out = io.BytesIO()
     with opener.open(io.BytesIO(data), "rb") as f:
         while out.tell() <= limit:
@@ -89,18 +97,23 @@ def unpack_stream(data: bytes, ext: str, limit: int) -> tuple[bytes, bool]:
 
 
 def zip_bomb(data: bytes, max_mb: float, depth: int = 0) -> bool:
-    """Whether a zip's directory, or that of a zip in it, shows a bomb. Nothing is unpacked but nested archives, up to ENTRY_BYTES each."""
+    """Whether a zip's directory, or that of a zip in it, shows a bomb.
+
+    Nothing is unpacked but nested archives, whole; one that is larger than a whole archive may be is a bomb itself,
+    whatever the directory says of it.
+    """
+    limit = int(max_mb * (1 << 20))
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             entries = z.infolist()
             packed, full = sum(e.compress_size for e in entries), sum(e.file_size for e in entries)
-            if len(entries) > MAX_ENTRIES or full > max_mb * (1 << 20) or (packed and full > MAX_UNPACKED and full > MAX_RATIO * packed):
+            if len(entries) > MAX_ENTRIES or full > limit or (packed and full > MAX_UNPACKED and full > MAX_RATIO * packed):
                 return True
             for e in entries if depth < MAX_DEPTH else ():
                 if e.filename.lower().endswith(ZIP_TYPES):
                     with z.open(e) as f:
-                        inner = f.read(ENTRY_BYTES)
-                    if zip_bomb(inner, max_mb, depth + 1):
+                        inner = f.read(limit + 1)
+                    if len(inner) > limit or zip_bomb(inner, max_mb, depth + 1):
                         return True
     except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
         pass
@@ -116,7 +129,7 @@ def archive_findings(name: str, data: bytes, max_mb: float = MAX_MB) -> list[tup
     if ext in ZIP_TYPES and zip_bomb(data, max_mb):
         return [("file.archive_bomb", "high")]
     try:
-        if ext in STREAM_TYPES:
+        if ext in STREAM_TYPES or ext == ".tgz":
             got, ended = unpack_stream(data, ext, int(max_mb * (1 << 20)))
             if not ended or (len(got) > MAX_UNPACKED and len(got) > MAX_RATIO * max(1, len(data))):
                 return [("file.archive_bomb", "high")]
@@ -134,18 +147,19 @@ def archive_findings(name: str, data: bytes, max_mb: float = MAX_MB) -> list[tup
     return []
 
 
-def svg_findings(name: str, data: bytes) -> list[tuple[str, str]]:
-    """Byte patterns on the whole; then, unless entities are declared or it is too large, elements and attributes of the tree."""
-    if name.lower().endswith(".svgz"):
-        try:
-            data = unpack_stream(data, ".svgz", ENTRY_BYTES)[0]
-        except (OSError, EOFError, zlib.error):
-            return []
+def _svg(name: str, data: bytes, max_mb: float) -> bytes:
+    return unpack_stream(data, ".svgz", int(max_mb * (1 << 20)))[0] if name.lower().endswith(".svgz") else data
+
+
+def svg_findings(name: str, data: bytes, max_mb: float = MAX_MB) -> list[tuple[str, str]]:
+    """Byte patterns on the whole; then, unless entities are declared, elements and attributes of the tree."""
+    try:
+        data = _svg(name, data, max_mb)
+    except (OSError, EOFError, zlib.error):
+        return []
     found = {"file.svg_script": "high"} if _SVG_BYTES.search(data) else {}
     if _ENTITY.search(data):
         return [*found.items(), ("file.svg_entity_decl", "medium")]
-    if len(data) > ENTRY_BYTES:
-        return list(found.items())
     local = lambda n: n.rpartition("}")[2].lower() if isinstance(n, str) else ""
     try:
         for e in ElementTree.fromstring(data).iter():
@@ -159,17 +173,159 @@ def svg_findings(name: str, data: bytes) -> list[tuple[str, str]]:
     return list(found.items())
 
 
-def document_text(name: str, data: bytes) -> str:
-    """Plain text of a file: OOXML parts and SVG as their character data, text as UTF-8; "" for what needs a reader that isn't there."""
+def ooxml_findings(data: bytes) -> list[tuple[str, str]]:
+    """Base64 blobs and triggers in the XML parts of a package, read whole; call it for packages that are no bombs."""
+    found: dict[str, str] = {}
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for n in z.namelist():
+                if n.endswith((".xml", ".rels")):
+                    content = z.read(n).decode("utf-8", "ignore")
+                    if _BASE64.search(content):
+                        found["file.ooxml_base64"] = "medium"
+                    if _TRIGGER.search(content):
+                        found["file.ooxml_injection"] = "high"
+    except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
+        pass
+    return list(found.items())
+
+
+def ole_streams(data: bytes) -> dict[str, bytes]:
+    """Name -> content of the streams of a compound file (the public MS-CFB format); {} for anything else."""
+    if not data.startswith(bytes.fromhex("D0CF11E0A1B11AE1")) or len(data) < 512:
+        return {}
+    u32 = lambda at: int.from_bytes(data[at : at + 4], "little")
+    size, mini, cutoff, last = 1 << data[30], 1 << data[32], u32(56), 0xFFFFFFFA
+    sector = lambda n: data[(n + 1) * size : (n + 2) * size]
+    ints = lambda raw: [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw) - 3, 4)]
+    fat_at, more, seen = [x for x in ints(data[76:512]) if x < last], u32(68), set()
+    while more < last and more not in seen:  # further lists of the allocation table's sectors
+        seen.add(more)
+        *part, more = ints(sector(more))
+        fat_at += [x for x in part if x < last]
+    fat = [x for n in fat_at for x in ints(sector(n))]
+
+    def chain(start: int, table: list[int], get) -> bytes:
+        out, n, been = [], start, set()
+        while n < len(table) and n not in been:
+            been.add(n)
+            out.append(get(n))
+            n = table[n]
+        return b"".join(out)
+
+    folder = chain(u32(48), fat, sector)
+    entries = []
+    for at in range(0, len(folder) - 127, 128):
+        e = folder[at : at + 128]
+        name = e[: max(0, int.from_bytes(e[64:66], "little") - 2)].decode("utf-16-le", "replace")
+        entries.append((name, e[66], int.from_bytes(e[116:120], "little"), int.from_bytes(e[120:124], "little")))
+    mini_fat = ints(chain(u32(60), fat, sector))
+    small = chain(next((s for _, kind, s, _ in entries if kind == 5), last), fat, sector)
+    piece = lambda n: small[n * mini : (n + 1) * mini]
+    return {name: (chain(start, fat, sector) if n >= cutoff else chain(start, mini_fat, piece))[:n] for name, kind, start, n in entries if kind == 2}
+
+
+def unpack_vba(data: bytes) -> bytes:
+    """The text of a compressed macro container (the public MS-OVBA format)."""
+    out, at = bytearray(), 1
+    if data[:1] != b"\x01":
+        raise ValueError("no macro container")
+    while at + 2 <= len(data):
+        head = int.from_bytes(data[at : at + 2], "little")
+        end, start = min(len(data), at + (head & 0xFFF) + 3), len(out)
+        at += 2
+        if not head & 0x8000:
+            out += data[at : at + 4096]
+            at = end
+            continue
+        while at < end:
+            flags, at = data[at], at + 1
+            for bit in range(8):
+                if at >= end:
+                    break
+                if not flags >> bit & 1:
+                    out.append(data[at])
+                    at += 1
+                    continue
+                token = int.from_bytes(data[at : at + 2], "little")
+                at += 2
+                width = max(4, (len(out) - start - 1).bit_length())
+                back, n = (token >> (16 - width)) + 1, (token & (0xFFFF >> width)) + 3
+                if back > len(out):
+                    raise ValueError("a copy from before the start")
+                for _ in range(n):
+                    out.append(out[-back])
+    return bytes(out)
+
+
+def macro_texts(data: bytes) -> list[str]:
+    """Source texts of the macros in a compound file, or in a package's vbaProject.bin."""
+    if data.startswith(b"PK"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return [t for n in z.namelist() if n.lower().endswith("vbaproject.bin") for t in macro_texts(z.read(n))]
+        except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError, EOFError):
+            return []
+    out = []
+    for raw in ole_streams(data).values():
+        # a module's source follows its compiled form, and begins with the packed word Attribute
+        at = raw.find(b"\x00Attribut")
+        if at >= 3:
+            try:
+                out.append(unpack_vba(raw[at - 3 :]).decode("latin-1"))
+            except (ValueError, IndexError):
+                out.append("")
+    return out
+
+
+def macro_findings(data: bytes) -> list[tuple[str, str]]:
+    """Macros, and triggers in their source: the one critical finding."""
+    texts = macro_texts(data)
+    found = [("file.office_macros", "high")] if texts else []
+    return found + ([("file.macro_injection", "critical")] if any(map(_TRIGGER.search, texts)) else [])
+
+
+def exif_strings(data: bytes) -> dict[int, str]:
+    """Tag -> text of the ASCII fields in a JPEG's, PNG's or TIFF's EXIF block, its sub-block included; {} without one."""
+    at = data.find(b"Exif\x00\x00") + 6 if data.startswith(b"\xff\xd8") else data.find(b"eXIf") + 4 if data.startswith(b"\x89PNG") else 0
+    tiff = data[at:] if at >= 4 or at == 0 else b""
+    order = {b"II*\x00": "little", b"MM\x00*": "big"}.get(tiff[:4])
+    if order is None:
+        return {}
+    number = lambda at, n: int.from_bytes(tiff[at : at + n], order)
+    out, todo, seen = {}, [number(4, 4)], set()
+    while todo:
+        block = todo.pop()
+        if block in seen or not 8 <= block < len(tiff) - 2:
+            continue
+        seen.add(block)
+        n = number(block, 2)
+        for e in range(block + 2, min(block + 2 + 12 * n, len(tiff) - 11), 12):
+            tag, kind, count = number(e, 2), number(e + 2, 2), number(e + 4, 4)
+            if kind == 2:
+                start = e + 8 if count <= 4 else number(e + 8, 4)
+                out[tag] = tiff[start : start + count].split(b"\x00")[0].decode("utf-8", "replace")
+            elif tag in (0x8769, 0x8825):  # the EXIF and the position block
+                todo.append(number(e + 8, 4))
+        todo.append(number(block + 2 + 12 * n, 4))
+    return out
+
+
+def exif_findings(data: bytes) -> list[tuple[str, str]]:
+    return [("file.exif_injection", "high")] if any(map(_TRIGGER.search, exif_strings(data).values())) else []
+
+
+def document_text(name: str, data: bytes, max_mb: float = MAX_MB) -> str:
+    """Plain text of a file: OOXML parts as their character data, mark-up and text as UTF-8; "" for what needs a reader that isn't there."""
     ext = PurePosixPath(name.lower()).suffix
     try:
-        if ext in (".docx", ".pptx", ".xlsx"):
+        if ext in OOXML:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 parts = [n for n in sorted(z.namelist()) if n.endswith(".xml") and not n.startswith("_rels")]
-                return "\n".join(" ".join(ElementTree.fromstring(z.open(n).read(ENTRY_BYTES)).itertext()) for n in parts)
-        if ext in (".svg", ".xml"):
-            return "" if _ENTITY.search(data) else " ".join(ElementTree.fromstring(data).itertext())
-        if ext in (".txt", ".md", ".csv", ".json", ".yaml", ".yml", ".html", ".htm", ".log", ".py", ".js", ".sh"):
+                return "\n".join(" ".join(ElementTree.fromstring(z.read(n)).itertext()) for n in parts)
+        if ext in (".svg", ".svgz"):
+            return _svg(name, data, max_mb).decode("utf-8", "ignore")
+        if ext in (".txt", ".md", ".csv", ".json", ".xml", ".yaml", ".yml", ".html", ".htm", ".log", ".py", ".js", ".sh"):
             return data.decode("utf-8", "replace")
         if ext == ".pdf":
             from pypdf import PdfReader
@@ -195,7 +351,7 @@ def xmp_text(data: bytes) -> str:
 
 
 def content_findings(files: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
-    """(path, category, severity) from archives and SVG, in Arrow batches of whole files."""
+    """(path, category, severity) from archives, SVG, packages, macros and images, in Arrow batches of whole files."""
 
     @F.pandas_udf(FINDING)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -203,7 +359,11 @@ def content_findings(files: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
             out = []
             for n, d in zip(names, data, strict=True):
                 f = archive_findings(n, d, max_mb)
-                f += svg_findings(n, d) if n.endswith((".svg", ".svgz")) and ("file.archive_bomb", "high") not in f else []
+                if ("file.archive_bomb", "high") not in f:  # what looks like a bomb isn't unpacked any further
+                    f += svg_findings(n, d, max_mb) if n.endswith((".svg", ".svgz")) else []
+                    f += ooxml_findings(d) if n.endswith(OOXML) else []
+                    f += macro_findings(d) if n.endswith(MACRO_TYPES) else []
+                    f += exif_findings(d) if d.startswith((b"\xff\xd8", b"\x89PNG", b"II*\x00", b"MM\x00*")) else []
                 out.append([{"category": c, "severity": s} for c, s in f])
             yield pd.Series(out)
 
@@ -217,7 +377,7 @@ def file_texts(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for names, data in batches:
             bomb = [any(c == "file.archive_bomb" for c, _ in archive_findings(n, d)) for n, d in zip(names, data, strict=True)]
-            yield pd.DataFrame({"text": ["" if x else document_text(n, d) for x, n, d in zip(bomb, names, data, strict=True)], "metadata_text": [xmp_text(d) for d in data]})
+            yield pd.DataFrame({"text": ["" if x else document_text(n, d) for x, n, d in zip(bomb, names, data, strict=True)], "metadata_text": ["\n".join(filter(None, [*exif_strings(d).values(), xmp_text(d)])) for d in data]})
 
     return files.select("path", run(_name(), F.col("content")).alias("t")).select("path", "t.*")
 

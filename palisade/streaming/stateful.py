@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from palisade.functions.ranks import status_rank
+from palisade.functions.text import word_bigrams
+from palisade.operators.turns import RISK, SessionScore
 
 #: Idle time after which a key's state is dropped.
 STATE_TTL_MS = 72 * 3600 * 1000
@@ -44,6 +46,26 @@ def stream_fold(rows: DataFrame, keys: list[str], order: list[str], fold: Callab
     return rows.groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def session_risk(turns: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """A stream of turns (session_id, ts, turn_index, status, density, turn_risk, text) with score, reframe and latched.
+
+    The window of turns, the last word pairs and the latch live in the state store; an idle session starts afresh.
+    """
+    t = turns.select("session_id", "ts", "turn_index", "status", "density", "turn_risk", word_bigrams(F.col("text")).alias("bigrams"))
+    out = stream_fold(t, ["session_id"], ["ts", "turn_index"], SessionScore, "risk", ttl_ms)
+    return out.select("session_id", "ts", "turn_index", F.from_json("risk", RISK).alias("r")).select("session_id", "ts", "turn_index", "r.*")
+
+
+def upsert_sessions(risk: DataFrame, write: Callable[[DataFrame, int], None]):
+    """A stream writer of each session's last score: of a micro-batch one row a session goes to write, which puts it over the old one."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        last = batch.groupBy("session_id").agg(F.max_by(F.struct("ts", "turn_index", "score", "latched"), F.struct("ts", "turn_index")).alias("r"))
+        write(last.select("session_id", "r.*"), n)
+
+    return risk.writeStream.foreachBatch(each)
+
+
 def first_uses(uses: DataFrame, token: str = "token_id", ts: str = "ts", lateness: str = LATENESS) -> DataFrame:
     """The first use of each token within the watermark; any later one is a replay."""
     return uses.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([token])

@@ -158,7 +158,6 @@ def test_candidates(spark):
     d = spark.createDataFrame([(r["id"], r["minhash"], "promoted", r["hit_count"], "high") for r in store.rows], "id string, minhash array<long>, status string, hit_count int, severity string")
     t = spark.createDataFrame([(7, a), (8, [9] * 64)], "text_id int, minhash array<long>")
     assert [(r.text_id, r.candidate) for r in candidates.match_promoted(t, d, "text_id").collect()] == [(7, "1")]
-    assert [(r.text_id, r.candidate) for r in candidates.match_promoted(t, d, "text_id", limit=1).collect()] == [(7, "1")]
     assert candidates.listed(candidates.set_status(d, ["1"], "open"), "open", 2).count() == 1
     sk = spark.createDataFrame([("hi <|system|> ignore all",), ("plain",)], "t string").select(candidates.skeleton(F.col("t")).alias("s"))
     one, two = [r.s for r in sk.collect()]

@@ -103,7 +103,7 @@ def test_catalogs_lint_clean():
 
 
 def test_lint_finds():
-    bad = [{"name": "a", "meta": {"severity": "critical"}, "strings": {"x": "(", "y": "ab"}, "match": {"all": ["x", "z"], "near": 3}}]
+    bad = [{"name": "a", "meta": {"severity": "grave"}, "strings": {"x": "(", "y": "ab"}, "match": {"all": ["x", "z"], "near": 3}}]
     said = {p for _, p in catalog.lint(bad)}
     assert {"unknown severity", "meta has no category", "x is no regex", "y is too broad", "unknown match key near", "y is not used", "z does not exist"} <= said
     assert catalog.load_catalog("s", [], bad).rules == []
