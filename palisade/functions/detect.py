@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,13 +41,45 @@ CONTROL_WORDS = (
 MARKUP = r"(?i)<\|(?:system|user|assistant|im_start|im_end)\|>|\[/?INST\]|<<SYS>>|<</SYS>>|\[(?:system|assistant|user)\]\s*[:>]|### (?:Instruction|System|Response)|```(?:system|tool_call)|</?(?:system|tool_use|function_call|result)>|\{\"(?:role|function|tool_calls)\":"
 
 
+#: What a text must have for a match to be in it, cheap to look for: one of some strings, or a short pattern.
+_NEEDS: dict[str, list[str] | str] = {
+    "pii.email": ["@"],
+    "pii.phone": r"\d{4}",
+    "pii.ssn": r"\d{4}",
+    "pii.credit_card": r"\d[ \-]?\d[ \-]?\d[ \-]?\d",
+    "network.ipv4": r"\d\.\d",
+    "secret.api_key": ["_live_", "_test_", "ghp_", "_pat_", "xox", "AKIA", "ASIA", "glpat-", "AIza"],
+    "secret.private_key": ["PRIVATE KEY-----"],
+    "secret.jwt": ["eyJ"],
+    "secret.conn_string": ["://"],
+    "secret.slack_webhook": ["https://hooks.slack.com/services/T"],
+}
+#: The same of patterns that don't tell case, to be looked for in the lower-case text; a long s is an s there, and no string has an i, of which there are more kinds.
+_NEEDS_LOWER: dict[str, list[str]] = {"secret.aws_secret": ["aws_secret_access_key"], "secret.credential": ["password", "passwd", "credent", "secret", "token", "key"]}
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    out = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def _may_match(category: str, text: Column) -> Column:
+    if category in _NEEDS_LOWER:
+        return _any_of(F.translate(F.lower(text), "\u017f", "s"), _NEEDS_LOWER[category])
+    need = _NEEDS[category]
+    return F.regexp_like(text, F.lit("(?U)" + need)) if isinstance(need, str) else _any_of(text, need)
+
+
 def _pattern(category: str) -> str:
     return "(?U)" + next(p for c, _, p in PATTERNS if c == category)
 
 
 def matches(category: str, text: Column) -> Column:
     """The valid matches of a category in a text, in order."""
-    found = F.regexp_extract_all(text, F.lit(_pattern(category)), 0)
+    # a text that can't have a match isn't searched; most can't
+    found = F.when(_may_match(category, text), F.regexp_extract_all(text, F.lit(_pattern(category)), 0)).when(text.isNotNull(), F.array().cast("array<string>"))
     if category == "pii.credit_card":
         digits = lambda m: F.regexp_replace(m, r"[^0-9]", "")
         return F.filter(found, lambda m: F.length(digits(m)).between(13, 19) & F.call_function("luhn_check", digits(m)))
@@ -54,11 +88,9 @@ def matches(category: str, text: Column) -> Column:
         d = lambda m: F.regexp_replace(m, "-", "")
         return F.filter(found, lambda m: ~F.substring(d(m), 1, 3).isin("000", "666") & ~d(m).startswith("9") & (F.substring(d(m), 4, 2) != "00") & (F.substring(d(m), 6, 4) != "0000") & (m.contains("-") | said))
     if category == "secret.credential":
-        p = F.lit(_pattern(category))
-        parts = F.arrays_zip(found.alias("whole"), F.regexp_extract_all(text, p, 1).alias("assign"), F.regexp_extract_all(text, p, 3).alias("value"))
-        bare = lambda x: F.regexp_replace(x["value"], r"[.!?:)\]}]+$", "")
-        good = lambda x: (x["assign"] != "") | ((F.length(bare(x)) >= 6) & F.regexp_like(bare(x), F.lit(_LOOKS_SECRET)))
-        return F.transform(F.filter(parts, good), lambda x: x["whole"])
+        # each match is taken apart by itself
+        bare = lambda m: F.regexp_replace(F.regexp_extract(m, _pattern(category), 3), r"[.!?:)\]}]+$", "")
+        return F.filter(found, lambda m: (F.regexp_extract(m, _pattern(category), 1) != "") | ((F.length(bare(m)) >= 6) & F.regexp_like(bare(m), F.lit(_LOOKS_SECRET))))
     return found
 
 
@@ -73,6 +105,10 @@ def _replace_all(text: Column, spans: Column, put: str) -> Column:
     return F.aggregate(spans, text, lambda acc, m: F.replace(acc, m, F.lit(put)))
 
 
+def _replacer(category: str, put: str) -> Callable[[Column], Column]:
+    return lambda t: F.when(_may_match(category, t), F.regexp_replace(t, _pattern(category), put)).otherwise(t)
+
+
 def redact(text: Column, categories: list[str] | None = None, template: str = "[REDACTED:{category}]") -> Column:
     """text with each category's matches replaced, in catalog order; of checked categories only the valid ones, and matches are sought in the original."""
     out = text
@@ -85,7 +121,7 @@ def redact(text: Column, categories: list[str] | None = None, template: str = "[
             spans = F.array_sort(F.array_distinct(matches(c, text)), lambda a, b: F.length(b) - F.length(a))
             out = _replace_all(out, spans, put)
         else:
-            out = F.regexp_replace(out, _pattern(c), put.replace("$", "\\$"))
+            out = T.let(out, _replacer(c, put.replace("$", "\\$")))
     return out
 
 

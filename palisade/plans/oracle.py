@@ -279,7 +279,7 @@ SELECT category, severity, count(*) AS n FROM f GROUP BY ALL""",
     "audit_hmac_verify": f"WITH {_SIGNED} SELECT class, count(*) AS n FROM classed GROUP BY class",
     "audit_hmac_failures": f"WITH {_SIGNED} SELECT line_no, class FROM classed WHERE class <> 'ok' ORDER BY line_no LIMIT 20",
     "rule_bundle": "SELECT count(*) FILTER (item_id % 5 <> 0) AS valid, count(*) FILTER (item_id % 5 = 0) AS invalid FROM benchmark",
-    "approval_quorum": "SELECT CAST(a AS INT) AS n_approvers, a >= 2 AS ok, count(*) AS n FROM (SELECT CASE WHEN (props->>'$.k') = '1' THEN list_extract([0, 1, 2, 2], event_id % 4 + 1) ELSE 0 END AS a FROM events WHERE event_type = 'signup') GROUP BY ALL",
+    "approval_quorum": "SELECT event_type, CAST(a AS INT) AS n_approvers, a >= 2 AS ok, count(*) AS n FROM (SELECT event_type, CASE WHEN event_type = 'signup' AND (props->>'$.k') = '1' THEN list_extract([0, 1, 2, 2], event_id % 4 + 1) ELSE 0 END AS a FROM events) GROUP BY ALL",
     "command_shapes": """WITH c AS (SELECT len(text) % 10 AS n FROM conversations), s(n, category, severity) AS (VALUES (0, 'pipeline_to_interpreter', 'high'), (0, 'download_exec_chain', 'high'), (1, 'network_fetch', 'medium'), (2, 'interpreter_inline_code', 'high'), (3, 'destructive_command', 'medium'), (4, 'reverse_shell_redirect', 'high'))
 SELECT 'command_injection.' || category AS category, severity, count(*) AS n FROM c JOIN s ON c.n = s.n GROUP BY ALL""",
     "catalog_rules": "SELECT * FROM (VALUES " + ", ".join(_rule_row(k, r) for k, texts in rules.TEXTS.items() for t in texts for r in yaml.safe_load(t)) + ") t(scanner, rule, category, severity, match, within_chars, n_strings)",

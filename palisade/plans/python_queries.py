@@ -115,14 +115,14 @@ def rule_bundle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def approval_quorum(spark: SparkSession, sf: str) -> DataFrame:
-    """Signups by whether the grants made for them, some for other arguments or expired, make a quorum."""
+    """Calls by tool and whether the grants made for signups, some for other arguments or expired, make a quorum for them."""
     now = datetime(2024, 1, 1, tzinfo=UTC)
     good = [signing.grant(p, "a0", "t", "signup", {"k": "1"}, now, SECRET) for p in ("x", "y", "x")]
     late = signing.grant("z", "a0", "t", "signup", {"k": "1"}, datetime(2023, 1, 1, tzinfo=UTC), SECRET)
-    e = table(spark, sf, "events").filter("event_type = 'signup'").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    e = table(spark, sf, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     grants = F.slice(F.array(F.lit(late), *map(F.lit, good)), 1, (F.col("event_id") % 4 + 1).cast("int"))
-    e = e.withColumn("approvers", signing.valid_approvers(grants, F.lit("a0"), F.lit("t"), F.lit("signup"), F.to_json(F.struct("k")), F.lit(now), SECRET))
-    return e.groupBy(F.size("approvers").alias("n_approvers"), gate.quorum_reason(F.lit("irreversible"), F.col("approvers"), True).isNull().alias("ok")).agg(F.count("*").alias("n"))
+    e = e.withColumn("approvers", signing.valid_approvers(grants, F.lit("a0"), F.lit("t"), F.col("event_type"), F.to_json(F.struct("k")), F.lit(now), SECRET))
+    return e.groupBy("event_type", F.size("approvers").alias("n_approvers"), gate.quorum_reason(F.lit("irreversible"), F.col("approvers"), True).isNull().alias("ok")).agg(F.count("*").alias("n"))
 
 
 @query
