@@ -89,8 +89,8 @@ def child(nodes: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return mix64(nodes ^ marks)
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: int | None = None, max_depth: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A set's nodes after depth splits over all runs, and for each the steps below it, down to max_depth splits.
+def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: int | None = None, max_depth: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A set's nodes after depth splits over all runs, the steps below them down to max_depth splits, node by node, and how many each has.
 
     A step is a parent's lower 32 bits beside the mark of a token chosen there; child() gives the node it leads to.
     """
@@ -101,18 +101,19 @@ def paths(tokens: np.ndarray, runs: int, threshold: float = THRESHOLD, depth: in
             at, marks = chosen(nodes, tokens, threshold)
             nodes = np.unique(child(nodes[at], marks))
     top, level = nodes, np.arange(len(nodes))  # level: the top node that each node is below
-    steps: list[list[np.ndarray]] = [[] for _ in top]
+    steps, owners = [], []
     for _ in range(max_depth - depth):
         if not len(nodes):
             break
         at, marks = chosen(nodes, tokens, threshold)
-        if not len(at):
-            break
-        step, level = (_low(nodes[at]) << np.uint64(32)) | marks, level[at]
-        for k in np.unique(level).tolist():
-            steps[k].append(step[level == k])
+        level = level[at]
+        steps.append((_low(nodes[at]) << np.uint64(32)) | marks)
+        owners.append(level)
         nodes = child(nodes[at], marks)
-    return top, [np.concatenate(s) if s else np.empty(0, dtype=np.uint64) for s in steps]
+    owner = np.concatenate(owners) if owners else np.empty(0, dtype=np.int64)
+    order = np.argsort(owner, kind="stable")
+    flat = np.concatenate(steps)[order] if steps else np.empty(0, dtype=np.uint64)
+    return top, flat, np.bincount(owner, minlength=len(top))
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -125,7 +126,6 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 _BASE = "doc_id long, key binary, sig binary, size long, sketch binary, buckets array<struct<bucket:long,steps:array<long>>>"
-_BUCKETS = pa.list_(pa.struct([("bucket", pa.int64()), ("steps", pa.list_(pa.int64()))]))
 
 
 def _batch(cols: list, types: list, names: list[str]) -> pa.RecordBatch:
@@ -137,29 +137,39 @@ def describe(docs: DataFrame, runs: int, n: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, size, sk, ends = [], [], [], []
+            sig, size, sk, tops, steps, counts = [], [], [], [], [], []
             for t in b["text"].to_pylist():
                 s = shingles(t, n)
                 size.append(len(s))
-                if len(s):
-                    top, steps = paths(s, runs, threshold)
-                    sig.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sk.append(sketch(s).tobytes())
-                    ends.append([{"bucket": x, "steps": y.view(np.int64)} for x, y in zip(top.view(np.int64).tolist(), steps, strict=True)])
-                else:
-                    sig.append(None)
-                    sk.append(None)
-                    ends.append(None)
-            yield _batch([b["doc_id"], b["key"], sig, size, sk, ends], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), _BUCKETS], ["doc_id", "key", "sig", "size", "sketch", "buckets"])
+                top, below, per = paths(s, runs, threshold) if len(s) else (s, s, np.empty(0, dtype=np.int64))
+                sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sk.append(sketch(s).tobytes() if len(s) else None)
+                tops.append(top)
+                steps.append(below)
+                counts.append(per)
+            ends = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            below = pa.ListArray.from_arrays(ends(np.concatenate(counts)), pa.array(np.concatenate(steps).view(np.int64)))
+            nodes = pa.StructArray.from_arrays([pa.array(np.concatenate(tops).view(np.int64)), below], names=["bucket", "steps"])
+            buckets = pa.ListArray.from_arrays(ends([len(x) for x in tops]), nodes)
+            cols = [b["doc_id"], b["key"], pa.array(sig, pa.binary()), pa.array(size, pa.int64()), pa.array(sk, pa.binary()), buckets]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "sig", "size", "sketch", "buckets"])
 
     return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, _BASE)
 
 
+_SPLIT = "sig binary, sketch binary, below array<struct<bucket:long,steps:array<long>>>, near array<binary>"
+
+
+def _lists(owners: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """values, sorted by owner, as one list for each of n owners."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(owners, minlength=n))), pa.int32()), values)
+
+
 def split_again(rows: DataFrame) -> DataFrame:
-    """Rows (sig, sketch, bucket, steps, near) of the next split of rows (sig, sketch, bucket, steps, low, low_sketch) in large buckets.
+    """(sig, sketch, below, near) of sets in large buckets: rows (sig, sketch, bucket, steps, low, low_sketch) that follow one another by set.
 
-    A set near the bucket's least one gives a candidate link (bucket null, near the least set); one very near it ends there,
-    so a crowd of near copies isn't split on and on. The others go to the children of the bucket on their paths.
+    A set near a bucket's least one gives a candidate link to it, once; one very near it ends there, so a crowd of near
+    copies isn't split on and on. The others go on to the buckets below on their paths.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +182,21 @@ def split_again(rows: DataFrame) -> DataFrame:
             step = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             row = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
             take = ((step >> np.uint64(32)) == _low(node[row])) & (agree[row] < WITH_LEAST)
-            r = row[take]
-            below = child(node[r], _low(step[take])).view(np.int64)
-            linked = np.flatnonzero(agree >= NEAR_LEAST)
-            at = pa.array(np.concatenate([r, linked]))
-            bucket = pa.array(np.concatenate([below, np.zeros(len(linked), dtype=np.int64)]), mask=np.arange(len(r) + len(linked)) >= len(r))
-            near = pa.concat_arrays([pa.nulls(len(r), pa.binary()), b["low"].take(pa.array(linked)).cast(pa.binary())])
-            steps = pa.concat_arrays([lists.take(pa.array(r)), pa.nulls(len(linked), pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_arrays([b["sig"].take(at), b["sketch"].take(at), bucket, steps, near], names=["sig", "sketch", "bucket", "steps", "near"])
-
-    return rows.select("sig", "sketch", "bucket", "steps", "low", "low_sketch").mapInArrow(run, "sig binary, sketch binary, bucket long, steps array<long>, near binary")
+            sig, least, number = b["sig"].to_pylist(), b["low"].to_pylist(), {}
+            owner = np.asarray([number.setdefault(x, len(number)) for x in sig])
+            r, marks = row[take], _low(step[take])
+            by_set = np.argsort(owner[r], kind="stable")
+            r, marks = r[by_set], marks[by_set]
+            below = pa.StructArray.from_arrays([pa.array(child(node[r], marks).view(np.int64)), lists.take(pa.array(r))], names=["bucket", "steps"])
+            linked = {(owner[i], least[i]): i for i in np.flatnonzero(agree >= NEAR_LEAST).tolist() if sig[i] != least[i]}
+            linked = np.asarray(sorted(linked.values(), key=lambda i: owner[i]), dtype=np.int64)
+            n, first = len(number), pa.array(np.unique(owner, return_index=True)[1])
+            near = _lists(owner[linked], n, b["low"].take(pa.array(linked)).cast(pa.binary()))
+            out = pa.RecordBatch.from_arrays([b["sig"].take(first), b["sketch"].take(first), _lists(owner[r], n, below), near], names=["sig", "sketch", "below", "near"])
+            some = (np.bincount(owner[r], minlength=n) > 0) | (np.bincount(owner[linked], minlength=n) > 0)
+            yield out.filter(pa.array(some))
+
+    return rows.select("sig", "sketch", "bucket", "steps", "low", "low_sketch").mapInArrow(run, _SPLIT)
 
 
 def compare_small(rows: DataFrame) -> DataFrame:
@@ -230,21 +245,22 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     """
     rows, found, depth = reps.select("sig", "sketch", F.explode("buckets").alias("b")).select("sig", "sketch", "b.bucket", "b.steps"), None, DEPTH
     while True:
-        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("sig", "sketch")).alias("low")).filter(f"n > {SMALL}"), "large")
+        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {SMALL}").select("bucket"), "large")
         n_large = sizes.count()
         hint = F.broadcast if n_large <= BROADCAST_BUCKETS else (lambda x: x)
-        small = compare_small(rows.join(hint(sizes.select("bucket")), "bucket", "left_anti") if n_large else rows)
+        small = compare_small(rows.join(hint(sizes), "bucket", "left_anti") if n_large else rows)
         found = small if found is None else found.unionByName(small)
         if not n_large:
             break
-        large = rows.join(hint(sizes.select("bucket", F.col("low.sig").alias("low"), F.col("low.sketch").alias("low_sketch"))), "bucket")
+        low = rows.join(hint(sizes), "bucket", "left_semi").groupBy("bucket").agg(F.min(F.struct("sig", "sketch")).alias("low"))
+        low = stored(low.select("bucket", F.col("low.sig").alias("low"), F.col("low.sketch").alias("low_sketch")), "least")
+        large = rows.join(hint(low), "bucket")
         if depth >= MAX_DEPTH:
             found = found.unionByName(large.select(F.col("sig").alias("a"), F.col("low").alias("b")))
             break
-        # a set's links to one least set, from many of its buckets, are one
-        split = stored(split_again(large).dropDuplicates(["sig", "bucket", "near"]), "split")
-        found = found.unionByName(split.filter("near IS NOT NULL AND near != sig").select(F.col("sig").alias("a"), F.col("near").alias("b")))
-        rows = split.filter("bucket IS NOT NULL").select("sig", "sketch", "bucket", "steps")
+        split = stored(split_again(large), "split")
+        found = found.unionByName(split.select(F.col("sig").alias("a"), F.explode("near").alias("b")))
+        rows = split.select("sig", "sketch", F.explode("below").alias("b")).select("sig", "sketch", "b.bucket", "b.steps")
         depth += 1
     return found
 
@@ -434,3 +450,19 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     row = kept.select(F.struct("*").alias("row__"), row_key().alias("key__")).join(again, "key__", "left_semi")
     row = row.groupBy("key__").agg(F.min_by("row__", F.to_json("row__")).alias("row__")).select(*[F.col(f"row__.`{c}`") for c in kept.columns])
     return once.unionByName(row)
+
+
+#: The join by brute force in DuckDB SQL, over documents with ids of their own: every pair of different sets that shares a shingle.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i : i + least({SHINGLE}, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least({SHINGLE}, len(w)) + 2)])) AS sh FROM w WHERE len(w) > 0),
+g AS (SELECT sh, min(doc_id) AS id, count(*) AS weight FROM s GROUP BY sh),
+x AS (SELECT id, len(sh) AS n, unnest(sh) AS t FROM g),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE shared >= {THRESHOLD} * (na + nb - shared) - 1e-9 UNION ALL SELECT b, a FROM p WHERE shared >= {THRESHOLD} * (na + nb - shared) - 1e-9),
+reach AS (SELECT id AS a, id AS b FROM g UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+classes AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT l.a AS id, sum(weight) AS n FROM l JOIN g ON g.id = l.b GROUP BY l.a),
+looked AS (SELECT sh, class_id, weight - 1 + coalesce(n, 0) AS n_links FROM g JOIN classes USING (id) LEFT JOIN links USING (id))
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN looked ON looked.sh = s.sh
+"""

@@ -125,3 +125,29 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: bool
             new["n_chars"] = F.when(F.col("places").isNull(), F.col("row__.n_chars")).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
         return with_lookup(docs, row_key(), places, new).select(*[F.col(f"`{c}`") for c in docs.columns])
     return with_lookup(docs, row_key(), places, new)
+
+
+#: The definition in DuckDB SQL, over documents.
+ORACLE = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut),
+t AS (SELECT doc_id, pos, [CASE WHEN regexp_matches(x, '[0-9]') OR starts_with(x, 'http://') OR starts_with(x, 'https://') OR regexp_matches(x, '^[^@]+@.') THEN '<*>' ELSE x END
+                          FOR x IN list_filter(regexp_split_to_array(line, '[ \\t\\f\\r]+'), lambda x: x <> '')] AS w FROM l),
+m AS (SELECT doc_id, pos, w, array_to_string(w, ' ') AS line, len(w) AS n, w[1 : ({LEADING} * len(w) + 9) // 10] AS lead FROM t WHERE len(w) > 0),
+copies AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS copy, sum(len(line)) AS total FROM m GROUP BY doc_id),
+different AS (SELECT DISTINCT n, lead, line, w FROM m),
+tok AS (SELECT n, lead, line, unnest(w) AS token, generate_subscripts(w, 1) AS p FROM different),
+often AS (SELECT n, lead, p, token, count(*) AS c FROM tok GROUP BY ALL),
+counted AS (SELECT n, lead, line, p, token, c FROM tok JOIN often USING (n, lead, p, token)),
+lowest AS (SELECT n, lead, line, list_sort(list(c), 'DESC')[({STAYING} * n + 9) // 10] AS c0 FROM counted GROUP BY n, lead, line),
+templates AS (SELECT line, string_agg(CASE WHEN c >= c0 THEN '=' || token ELSE '*' END, ' ' ORDER BY p) AS template FROM counted JOIN lowest USING (n, lead, line) GROUP BY line),
+e AS (SELECT m.doc_id, pos, len(m.line) AS size, copy, total, template FROM m JOIN templates USING (line) JOIN copies USING (doc_id)),
+recurring AS (SELECT template FROM e GROUP BY template HAVING count(DISTINCT copy) >= {MIN_DOCS}),
+r AS (SELECT * FROM e SEMI JOIN recurring USING (template)),
+shares AS (SELECT doc_id, CASE WHEN count(*) >= {COPIED_LINES} THEN sum(size)::DOUBLE / any_value(total)::DOUBLE ELSE 0.0 END AS share FROM r GROUP BY doc_id),
+dropped AS (SELECT template, count(DISTINCT copy) FILTER (share < {NEAR_COPY}) AS apart, count(DISTINCT copy) FILTER (share < {OWN}) AS own FROM r JOIN shares USING (doc_id) GROUP BY template),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS places FROM r JOIN shares USING (doc_id) JOIN dropped USING (template) WHERE apart >= {MIN_DOCS} AND (own >= {MIN_DOCS} OR share < {NEAR_COPY}) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN places IS NULL THEN text ELSE array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(places, i)], chr(10)) END AS text,
+       CAST(CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS INT) AS n_lines, CAST(coalesce(len(places), 0) AS INT) AS n_dropped
+FROM documents d JOIN cut USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

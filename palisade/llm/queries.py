@@ -62,6 +62,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_language_id, op3_ngram_jaccard_join, op4_packing, op5_line_dedup, op6_license_scan, op7_url_filter, op8_decontamination, op9_lz_fingerprint, op10_warc)}
 
 ORACLES = {
+    "op3_ngram_jaccard_join": chosen_path.ORACLE,
+    "op5_line_dedup": line_templates.ORACLE,
     "op6_license_scan": license_rules.oracle(),
     "op7_url_filter": url_rules.ORACLE,
     "op8_decontamination": phrase_index.ORACLE,
