@@ -245,14 +245,15 @@ def candidate_links(reps: DataFrame) -> DataFrame:
     """
     rows, found, depth = reps.select("sig", "sketch", F.explode("buckets").alias("b")).select("sig", "sketch", "b.bucket", "b.steps"), None, DEPTH
     while True:
-        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(f"n > {SMALL}").select("bucket"), "large")
+        sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.xxhash64("sig")).alias("least")).filter(f"n > {SMALL}").select("bucket", "least"), "large")
         n_large = sizes.count()
         hint = F.broadcast if n_large <= BROADCAST_BUCKETS else (lambda x: x)
-        small = compare_small(rows.join(hint(sizes), "bucket", "left_anti") if n_large else rows)
+        small = compare_small(rows.join(hint(sizes.select("bucket")), "bucket", "left_anti") if n_large else rows)
         found = small if found is None else found.unionByName(small)
         if not n_large:
             break
-        low = rows.join(hint(sizes), "bucket", "left_semi").groupBy("bucket").agg(F.min(F.struct("sig", "sketch")).alias("low"))
+        # a bucket's least set is the one with the least hash; should two share it, the least of them
+        low = reps.select(F.xxhash64("sig").alias("least"), "sig", "sketch").join(hint(sizes), "least").groupBy("bucket").agg(F.min(F.struct("sig", "sketch")).alias("low"))
         low = stored(low.select("bucket", F.col("low.sig").alias("low"), F.col("low.sketch").alias("low_sketch")), "least")
         large = rows.join(hint(low), "bucket")
         if depth >= MAX_DEPTH:

@@ -145,11 +145,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("root").alias("root")).filter("ups > 1 OR (ups = 1 AND root = 1)").isEmpty():
             break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # tables of minima, so that a hub's edges can be split over tasks when they are joined
+        # a table of minima, so that a hub's edges can be split over tasks when they are joined
         low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u != v").distinct(), "large")
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = large.filter("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         before, e = e, stored(small.filter("u != v").distinct(), "edges")
