@@ -284,4 +284,9 @@ SELECT category, severity, count(*) AS n FROM f GROUP BY ALL""",
 SELECT 'command_injection.' || category AS category, severity, count(*) AS n FROM c JOIN s ON c.n = s.n GROUP BY ALL""",
     "catalog_rules": "SELECT * FROM (VALUES " + ", ".join(_rule_row(k, r) for k, texts in rules.TEXTS.items() for t in texts for r in yaml.safe_load(t)) + ") t(scanner, rule, category, severity, match, within_chars, n_strings)",
     "connector_tools": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}', '{','.join(sorted({v[0], *m['tags']}))}', '{v[1]}')" for k, m in yaml.safe_load(config.MANIFESTS).items() for t, v in m["tools"].items()) + ") t(source, tool_name, tags, action)",
+    "candidate_upsert": f"""WITH RECURSIVE m AS (SELECT item_id % 4 AS tenant, CAST(item_id AS VARCHAR) AS id, {_MINHASH} AS h, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) AS k FROM (SELECT item_id, {_CHARS} AS bg FROM benchmark)),
+f AS (SELECT tenant, k, id, [{{'id': id, 'h': h}}] AS cs, id AS candidate FROM m WHERE k = 1 UNION ALL
+  SELECT tenant, k, id, CASE WHEN hit IS NULL THEN list_append(cs, {{'id': id, 'h': h}}) ELSE cs END, coalesce(hit, id)
+  FROM (SELECT m.tenant, m.k, m.id, m.h, f.cs, list_filter(f.cs, lambda c: len(list_filter(range(1, 65), lambda i: c.h[i] = m.h[i])) >= {candidates.MATCH_AT} * 64)[1].id AS hit FROM f JOIN m ON m.tenant = f.tenant AND m.k = f.k + 1))
+SELECT tenant, id, candidate FROM f""",
 }
