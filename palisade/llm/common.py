@@ -30,8 +30,10 @@ def work_dir(spark: SparkSession) -> str:
             _OWN_WORK_DIR[app] = "file://" + tempfile.mkdtemp("palisade")
         base = _OWN_WORK_DIR[app]
     folder = f"{base.rstrip('/')}/palisade-{uuid.uuid4().hex}"
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path(folder), spark._jsc.hadoopConfiguration()
-    path.getFileSystem(conf).deleteOnExit(path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)  # only what is there can be marked for deletion
+    store.deleteOnExit(path)
     return folder
 
 
