@@ -291,3 +291,15 @@ def test_config():
         with pytest.raises(config.ConfigError):
             config.load(bad, {})
     assert config.sse_events("event: a\ndata: 1\ndata: 2\n\n: c\ndata: 3\n") == [("a", "1\n2"), ("message", "3")]
+
+
+def test_misspellings_are_only_compared_with_near_targets(monkeypatch):
+    calls, real = [], fuzzy.variant
+    monkeypatch.setattr(fuzzy, "variant", lambda w, t: calls.append(w) or real(w, t))
+    words = sorted({"".join(random.Random(i).choices("abcdeinorst", k=4 + i % 12)) for i in range(600)} | {"ignroe", "igonre", "instructoins", "ovveride", "sytem", "shel"})
+    for vocabulary in (tuple(fuzzy.ACTIONS), tuple(fuzzy.OBJECTS), tuple(fuzzy.DESTINATIONS)):
+        fuzzy.nearest.cache_clear()
+        got = [fuzzy.nearest(w, vocabulary) for w in words]
+        each = [[(t, k) for t in sorted(vocabulary) if (k := real(w, t))] for w in words]
+        assert got == [next((x for x in e if x[1] == "strong"), e[0] if e else None) for e in each]
+    assert len(calls) < len(words)
