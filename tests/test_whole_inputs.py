@@ -356,3 +356,20 @@ def test_long_arguments_tell_calls_apart():
     a, b = ({"x": "y" * 200 + end} for end in ("1", "2"))
     assert replay.call_fingerprint("t", a) != replay.call_fingerprint("t", b)
     assert replay.call_fingerprint("t", a, 128) == replay.call_fingerprint("t", b, 128)
+
+
+def test_minimum_hashes_of_an_item_are_computed_once(spark, monkeypatch):
+    low, hashed = T._Minima(64), []
+    real = low.hashes
+    monkeypatch.setattr(low, "hashes", lambda x: hashed.append(x) or real(x))
+    lists = [["ab", "bc", "é€"], ["bc", "ab"], [], ["😀x", None]]
+    for _ in range(3):
+        got = [low.of(x).tolist() for x in lists]
+    want = [[min(int(hashlib.md5((f"{s}" if b is None else f"{s}:{b}").encode()).hexdigest()[:8], 16) for b in x) for s in range(64)] if x else [] for x in lists]
+    assert got == want and len(hashed) == 5
+    monkeypatch.setattr(T, "HASHED_ITEMS", 2)
+    few = T._Minima(64)
+    assert [few.of(x).tolist() for x in lists] == want
+    d = spark.createDataFrame([(0, None), (1, ""), (2, "aB"), (3, "ab" * 9000)], "id int, text string")
+    r = [x.m for x in d.select(T.minhash(T.char_bigrams(F.col("text"))).alias("m")).collect()]
+    assert r[0] == [None] * 64 and r[1] == [] and r[2] == low.of(["ab"]).tolist() and r[3] == low.of(["ab", "ba"]).tolist()
