@@ -373,3 +373,13 @@ def test_minimum_hashes_of_an_item_are_computed_once(spark, monkeypatch):
     d = spark.createDataFrame([(0, None), (1, ""), (2, "aB"), (3, "ab" * 9000)], "id int, text string")
     r = [x.m for x in d.select(T.minhash(T.char_bigrams(F.col("text"))).alias("m")).collect()]
     assert r[0] == [None] * 64 and r[1] == [] and r[2] == low.of(["ab"]).tolist() and r[3] == low.of(["ab", "ba"]).tolist()
+
+
+def test_all_like_pairs_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BLOCK_ROWS", 90)
+    rng = random.Random(5)
+    rows = [(k, [rng.randrange(1 << 32) if rng.random() < 0.15 else 7 * s + k % 3 for s in range(64)]) for k in range(400)] + [(1000, []), (1001, None), (1002, [None] * 64)]
+    same = lambda x, y: sum(p == q for p, q in zip(x, y, strict=True)) / 64
+    want = {(a, b, s) for a, x in rows[:400] for b, y in rows[:400] if a < b and (s := same(x, y)) >= candidates.MATCH_AT}
+    got = candidates.like_pairs(spark.createDataFrame(rows, "id long, minhash array<long>"), "id").collect()
+    assert len(got) == len(want) > 1000 and {(r.a, r.b, r.likeness) for r in got} == want
