@@ -303,3 +303,15 @@ def test_misspellings_are_only_compared_with_near_targets(monkeypatch):
         each = [[(t, k) for t in sorted(vocabulary) if (k := real(w, t))] for w in words]
         assert got == [next((x for x in e if x[1] == "strong"), e[0] if e else None) for e in each]
     assert len(calls) < len(words)
+
+
+def test_views_are_made_of_one_folding(spark):
+    from palisade.plans.queries import QUERIES
+
+    from .conftest import SF
+
+    plan = QUERIES["view_merge"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(T.LOOKALIKE_FROM[:9]) == 1
+    assert "translate(lower(" not in plan
+    d = spark.createDataFrame([("pa\u017fsword: abc123XYZ",), ("PASSWORD=hunter2x",), ("none",)], "t string")
+    assert [len(r.m) for r in d.select(detect.matches("secret.credential", F.col("t")).alias("m")).collect()] == [1, 1, 0]
